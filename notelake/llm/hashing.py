@@ -6,6 +6,9 @@ random odd numbers, finished by a multiply-shift mixer. Prefix sums give the has
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 _P = 0x9E3779B97F4A7C15 | 1
@@ -61,3 +64,25 @@ def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_T[data] * _powers(len(data)), out=sums[1:])
     return mix((sums[size:] - sums[:n]) * _powers(n, True))
+
+
+_SPACE_AT = re.compile(rb"[ \t\n\r\x0b\x0c]")
+
+
+def segments(texts: Iterable[bytes], size: int) -> Iterator[list[tuple[int, bytes]]]:
+    """Buffers of (number of the text, part of it), about `size` bytes each, long texts cut after white space."""
+    held, used = [], 0
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > size:
+                cut = next(_SPACE_AT.finditer(text, at + size), None)
+                end = cut.end() if cut else end
+            held.append((k, text[at:end]))
+            used, at = used + end - at, end
+            if used >= size:
+                yield held
+                held, used = [], 0
+    if held:
+        yield held

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, secret_scan, token_counts
+from . import decontaminate, near_duplicates, packing, secret_scan, token_counts
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at 0.85, as its contract has it."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.findings(table(spark, sf_dir, "documents")))
 
@@ -30,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_secret_scan": op10_secret_scan,
 }
 
