@@ -27,7 +27,7 @@ from .common import arrow_schema, bytes_of, id_and_text
 from .hashing import mix, segments, span_hashes, word_spans
 
 GRADES = 4
-SAMPLE, VOCABULARY = 12_000, 2000
+SAMPLE, VOCABULARY = 6_000, 2000
 #: A feature is taken if its log-odds are so many standard errors from 0.
 LEAST_Z = 3.3
 PREFIXES = (4, 5, 6)
