@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_duplicates, packing, secret_scan, suffix_dedup, token_counts, topk_search, toxicity
+from . import decontaminate, language_id, license_scan, near_duplicates, packing, secret_scan, suffix_dedup, token_counts, topk_search, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_topk_search": op2_topk_search,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
