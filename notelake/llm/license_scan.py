@@ -10,6 +10,7 @@ word pairs are in the paragraph.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -55,12 +56,23 @@ NOT_LICENCES = (
 )
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once, where a plain use would copy its expression to each place."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}+-]+"), lambda w: w != "")
 
 
-def _pairs(words: Column) -> Column:
-    return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+def _runs(words: Column, n: int) -> Column:
+    """Every n consecutive words, with spaces between."""
+    some = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
+    return _let(words, lambda w: F.when(F.size(w) >= n, some(w)).otherwise(F.array().cast("array<string>")))
+
+
+def _grams(text: Column) -> Column:
+    return _let(_words(text), lambda w: F.concat(w, _runs(w, 2)))
 
 
 def _variants(text: str) -> list[str]:
@@ -82,14 +94,13 @@ class Model:
 
 
 def _features(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("__words", _words(F.col("paragraph")))
-    rows = rows.withColumn("__pairs", _pairs(F.col("__words"))).withColumn("__grams", F.concat("__words", "__pairs"))
+    rows = rows.withColumn("__grams", _grams(F.col("paragraph")))
     return HashingTF(inputCol="__grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(rows)
 
 
 def _probabilities(raw: Column, temperature: float) -> Column:
     scaled = F.transform(vector_to_array(raw), lambda x: x / temperature)
-    return F.transform(scaled, lambda x: 1 / F.aggregate(scaled, F.lit(0.0), lambda a, y: a + F.exp(y - x)))
+    return _let(scaled, lambda s: F.transform(s, lambda x: 1 / F.aggregate(s, F.lit(0.0), lambda a, y: a + F.exp(y - x))))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -106,8 +117,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS) -
     n = id_and_text(docs).filter("text is not null").count()
     place = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_003)) / 1_000_003
     some = paragraphs(docs.filter(place < min(1.0, sample / 8 / max(1, n)))).select("paragraph").distinct()
-    words = _words(F.col("paragraph"))
-    triples = F.when(F.size(words) > 2, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<string>"))
+    triples = _runs(_words(F.col("paragraph")), 3)
     others = some.filter(~F.arrays_overlap(triples, phrases)).select(F.substring("paragraph", 1, 2000).alias("paragraph"), F.lit(0.0).alias("label")).orderBy(F.xxhash64("paragraph"), "paragraph").limit(sample)
     rows = spark.createDataFrame(known, "paragraph string, label double").unionByName(others)
     rows = _features(rows).withColumn("part", F.pmod(F.xxhash64("paragraph", F.lit(5)), F.lit(4))).select("paragraph", "label", "features", "part").cache()
@@ -118,7 +128,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS) -
         for label, m in sizes.items():
             weight = F.when(F.col("label") == label, 100.0 / m).otherwise(weight)
         train = rows.filter("part > 0").withColumn("weight", weight).coalesce(1)
-        model = LogisticRegression(family="multinomial", maxIter=60, regParam=1e-4, weightCol="weight").fit(train)
+        model = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-4, weightCol="weight").fit(train)
         held = model.transform(rows.filter("part = 0")).select("label", "rawPrediction").cache()
         loss = [F.avg(-F.log(F.get(_probabilities(F.col("rawPrediction"), t), F.col("label").cast("int")) + 1e-12)).alias(str(i)) for i, t in enumerate(TEMPERATURES)]
         got = held.agg(*loss).first()
@@ -144,9 +154,9 @@ def licensed_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     scored = scored.withColumn("__p", _probabilities(F.col("rawPrediction"), model.temperature)).filter(F.col("prediction") > 0)
     scored = scored.withColumn("probability_", F.get("__p", F.col("prediction").cast("int"))).filter(F.col("probability_") >= model.least)
     names = F.array(*[F.lit(n) for n in model.names])
-    templates = F.array(*[F.array(*[_pairs(_words(F.lit(t))) for t in TEMPLATES.get(n, ("",))]) for n in model.names])
+    templates = F.array(*[F.array(*[_runs(_words(F.lit(t)), 2) for t in TEMPLATES.get(n, ("",))]) for n in model.names])
     own = F.get(templates, F.col("prediction").cast("int"))
-    share = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect("__pairs", t)) / F.greatest(F.size(F.array_distinct(t)), F.lit(1))))
+    share = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect("__grams", t)) / F.greatest(F.size(F.array_distinct(t)), F.lit(1))))
     return scored.withColumn("template_share", share).filter(F.col("template_share") >= CONFIRM).select("doc_id", "place", F.get(names, F.col("prediction").cast("int")).alias("family"), F.col("probability_").alias("probability"), "template_share")
 
 
