@@ -1,8 +1,265 @@
-"""Queries over the derived vault and their DuckDB SQL."""
+"""Queries over the derived vault and, for each, what DuckDB says over the tables it was derived from."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from notelake.operators.recordset import RecordSet
+from notelake.testing.vault_from_tables import vault
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# What the derived notes hold, in SQL.
+_O = """(SELECT *, 'orders/' || lower(o_orderstatus) || '/order-' || o_orderkey || '.md' AS path, 'order-' || o_orderkey AS name,
+    CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS total, strftime(o_orderdate, '%Y-%m-%d') AS placed FROM orders)"""
+_C = """(SELECT *, 'customers/' || lower(c_mktsegment) || '/customer-' || c_custkey || '.md' AS path, 'customer-' || c_custkey AS name,
+    CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS balance FROM customer)"""
+_P = "(SELECT *, 'parts/part-' || p_partkey || '.md' AS path, 'part-' || p_partkey AS name FROM part)"
+_D = "(SELECT *, 'docs/' || coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/doc-' || doc_id || '.txt' AS path, 'doc-' || doc_id AS name FROM documents)"
+_ALL = f"(SELECT path, name FROM {_O} UNION ALL SELECT path, name FROM {_C} UNION ALL SELECT path, name FROM {_P} UNION ALL SELECT path, name FROM {_D})"
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def paths(rows: RecordSet) -> DataFrame:
+    return rows.select(path="file.path")
+
+
+def pages(name: str, sql: str, kinds: tuple[str, ...], source: str | None = None, where: str | None = None, tasks: bool = False) -> None:
+    """A query for the paths of the pages that a source and a filter select."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = vault(spark, sf_dir, *kinds, tasks=tasks).pages(source, inlinks=False)
+        return paths(rows.where(where) if where else rows)
+
+    query(name, sql)(run)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vault(spark, sf_dir, "orders").pages("#order and orders/f/", inlinks=False).where("total > 100000").sort("total", True).limit(10)
+    return rows.df.select(F.col("name"), rows.column("total")["n"].alias("total"))
+
+
+query("flagship_topk", f"SELECT name, total FROM {_O} WHERE o_orderstatus = 'F' AND total > 100000 ORDER BY total DESC, string_split(path, '/') LIMIT 10")(flagship)
+
+# ---- files and sources
+
+_FOUR = ("orders", "customers", "parts", "documents")
+
+
+@query("scan_all_files", f"SELECT path, name, regexp_replace(path, '/[^/]*$', '') AS folder, CASE WHEN path LIKE '%.md' THEN 'note' ELSE 'other' END AS format FROM {_ALL}")
+def scan_all_files(spark, sf_dir):
+    v = vault(spark, sf_dir, *_FOUR)
+    return v.pages(inlinks=False).df.select("path", "name", "folder", "format")
+
+
+pages("source_all", f"SELECT path FROM {_ALL}", _FOUR)
+pages("source_tag", f"SELECT path FROM {_O} WHERE o_orderstatus = 'F'", ("orders", "customers"), "#order/f")
+pages("source_tag_nested", f"SELECT path FROM {_O}", ("orders", "customers"), "#order")
+pages("source_exact", f"SELECT path FROM {_C} WHERE path = 'customers/building/customer-1.md' OR path = 'customers/machinery/customer-3.md'", ("customers",), "customers/building/customer-1.md or 'customers/machinery/customer-3.md'")
+pages("source_folder", f"SELECT path FROM {_O} WHERE starts_with(path, 'orders/f/')", ("orders", "customers"), "orders/f/")
+pages("source_glob_star", f"SELECT path FROM {_ALL} WHERE regexp_matches(path, '^parts/[^/]*7\\.md$')", _FOUR, "parts/*7.md")
+pages("source_glob_globstar", f"SELECT path FROM {_ALL} WHERE regexp_matches(path, '^(?s:.*)/[^/]*-1(?s:.*)$')", _FOUR, "**/*-1**")
+pages("source_bool_precedence", f"SELECT path FROM {_ALL} WHERE starts_with(path, 'parts/') OR (starts_with(path, 'orders/') AND NOT starts_with(path, 'orders/o/'))", _FOUR, "parts/ or #order and not orders/o/")
+pages("source_symbols", f"SELECT path FROM {_ALL} WHERE (starts_with(path, 'parts/') OR starts_with(path, 'customers/')) AND NOT starts_with(path, 'customers/building/')", _FOUR, "(parts/ || #customer) && !customers/building/")
+pages("source_not_keeps_other_files", f"SELECT path FROM {_ALL} WHERE NOT starts_with(path, 'orders/') AND NOT starts_with(path, 'customers/')", _FOUR, "not #order and not @Customer")
+pages("source_class_exact", f"SELECT path FROM {_O}", _FOUR, "@Order")
+pages("source_class_children", f"SELECT path FROM {_O}", _FOUR, "class(Deal, children)")
+pages("source_class_descendants", f"SELECT path FROM {_O} UNION ALL SELECT path FROM {_C}", _FOUR, "class(Record).with_descendants()")
+pages("source_class_itself", f"SELECT path FROM {_P}", _FOUR, "@Part* and not @Record")
+
+# ---- fields
+
+
+@query("field_file", f"SELECT path, name, regexp_replace(path, '/[^/]*$', '') AS folder, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS mtime, strftime(o_orderdate, '%Y-%m-%d') AS mdate, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS ctime, strftime(o_orderdate, '%Y-%m-%d') AS cdate FROM {_O}")
+def field_file(spark, sf_dir):
+    rows = vault(spark, sf_dir, "orders").pages(inlinks=False)
+    return rows.select(path="file.path", name="file.name", folder="file.folder", mtime="file.mtime", mdate="file.mdate", ctime="file.created_at", cdate="file.cdate")
+
+
+@query("field_size", f"SELECT path, CAST(strlen(coalesce(text, '')) AS DOUBLE) AS size FROM {_D}")
+def field_size(spark, sf_dir):
+    return vault(spark, sf_dir, "documents").pages(inlinks=False).select(path="file.path", size="file.size")
+
+
+@query("field_metadata", f"SELECT path, total, placed, o_orderpriority AS priority, 'customer-' || o_custkey AS customer FROM {_O}")
+def field_metadata(spark, sf_dir):
+    rows = vault(spark, sf_dir, "orders").pages(inlinks=False)
+    c = rows.column
+    return rows.df.select("path", c("total")["n"].alias("total"), c("placed")["s"].alias("placed"), c("Priority")["s"].alias("priority"), c("customer")["s"].alias("customer"))
+
+
+@query("field_tags", f"SELECT path, ['#order/' || lower(o_orderstatus)] AS tags FROM {_O}")
+def field_tags(spark, sf_dir):
+    return vault(spark, sf_dir, "orders").pages(inlinks=False).select(path="file.path", tags="tags")
+
+
+# ---- filters
+
+_FILTERS = {
+    "filter_eq": ("priority == \"1-URGENT\"", "o_orderpriority = '1-URGENT'"),
+    "filter_ne": ("priority != \"1-URGENT\"", "o_orderpriority IS DISTINCT FROM '1-URGENT'"),
+    "filter_lt": ("total < 50000", "total < 50000"),
+    "filter_le": ("placed <= \"1996-06-30\"", "placed <= '1996-06-30'"),
+    "filter_gt": ("total > 250000.5", "total > 250000.5"),
+    "filter_ge": ("placed >= \"1997-01-01\"", "placed >= '1997-01-01'"),
+    "filter_null_eq": ("missing == null", "true"),
+    "filter_null_ne": ("total != null", "total IS NOT NULL"),
+    "filter_missing_ne": ("missing != 7", "true"),
+    "filter_kind_mismatch": ("total == \"1\" or total > \"a\"", "false"),
+    "filter_contains_text": ("contains(priority, \"URG\") or CONTAINS(file.name, \"9\")", "contains(o_orderpriority, 'URG') OR contains(name, '9')"),
+    "filter_contains_tag": ("contains(tags, \"#order\") and not contains(tags, \"#order/f\")", "o_orderstatus <> 'F'"),
+    "filter_and_or_not": ("total > 100000 and not (placed < \"1996-01-01\" or priority == \"5-LOW\") || file.name == \"order-1\"", "(total > 100000 AND NOT (placed < '1996-01-01' OR o_orderpriority = '5-LOW')) OR name = 'order-1'"),
+}
+for _name, (_where, _sql) in _FILTERS.items():
+    pages(_name, f"SELECT path FROM {_O} WHERE {_sql}", ("orders",), None, _where)
+pages("filter_contains_list", f"SELECT path FROM {_P} WHERE p_partkey % 3 = 0 AND (p_size = 7 OR p_size + 1 = 7)", ("parts",), None, "contains(sizes, 7)")
+pages("filter_link_never_equal", f"SELECT path FROM {_P} WHERE p_size = 7", ("parts",), None, 'made == "maker" or contains(made, "maker") or size == 7')
+pages("filter_contains_nested_tag", f"SELECT path FROM {_P}", ("parts",), None, "contains(kinds, \"#part\")")
+
+
+@query("filter_composed", f"SELECT path FROM {_O} WHERE total > 100000 AND total < 200000 AND o_orderpriority = '2-HIGH'")
+def filter_composed(spark, sf_dir):
+    return paths(vault(spark, sf_dir, "orders").pages(inlinks=False).where("total > 100000").where("total < 200000").filter('priority == "2-HIGH"'))
+
+
+# ---- order, limits, flattening, counting
+
+
+def sorted_pages(name: str, order_by: str, source: str, kinds: tuple[str, ...], change) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return change(vault(spark, sf_dir, *kinds).pages(inlinks=False)).numbered().select("path", "position")
+
+    query(name, f"SELECT path, row_number() OVER (ORDER BY {order_by}) AS position FROM {source}")(run)
+
+
+_BY_PATH = "string_split(path, '/')"
+sorted_pages("sort_num_asc", f"balance, {_BY_PATH}", _C, ("customers",), lambda r: r.sort("balance"))
+sorted_pages("sort_num_desc", f"balance DESC, {_BY_PATH}", _C, ("customers",), lambda r: r.sort("balance", True))
+sorted_pages("sort_text", f"c_mktsegment, {_BY_PATH}", _C, ("customers",), lambda r: r.sort("segment"))
+sorted_pages("sort_stable_chain", f"c_mktsegment DESC, balance, {_BY_PATH}", _C, ("customers",), lambda r: r.sort("balance").sort("segment", True))
+sorted_pages("sort_null_first", f"CASE WHEN c_acctbal IS NULL THEN 1 ELSE 0 END, {_BY_PATH}", _C, ("customers",), lambda r: r.sort("nothing"))
+sorted_pages("sort_path_default", _BY_PATH, _ALL, _FOUR, lambda r: r)
+sorted_pages("group_by_clusters", f"c_mktsegment, {_BY_PATH}", _C, ("customers",), lambda r: r.group_by("segment"))
+
+
+@query("limit_topk", f"SELECT path, total FROM {_O} ORDER BY total DESC, {_BY_PATH} LIMIT 25")
+def limit_topk(spark, sf_dir):
+    rows = vault(spark, sf_dir, "orders").pages(inlinks=False).sort("total", descending=True).limit(25)
+    return rows.df.select("path", rows.column("total")["n"].alias("total"))
+
+
+@query("limit_seals", f"SELECT path FROM (SELECT * FROM {_O} ORDER BY total DESC, {_BY_PATH} LIMIT 40) WHERE o_orderstatus = 'F'")
+def limit_seals(spark, sf_dir):
+    return paths(vault(spark, sf_dir, "orders").pages(inlinks=False).sort("total", True).limit(40).where('contains(tags, "#order/f")'))
+
+
+@query("flatten_list", f"SELECT path, CAST(s AS DOUBLE) AS size FROM (SELECT path, unnest([p_size, p_size + 1]) AS s FROM {_P} WHERE p_partkey % 3 = 0) UNION ALL SELECT path, CAST(p_size AS DOUBLE) FROM {_P} WHERE p_partkey % 3 = 2")
+def flatten_list(spark, sf_dir):
+    rows = vault(spark, sf_dir, "parts").pages(inlinks=False).flatten("sizes")
+    return rows.df.select("path", rows.column("sizes")["n"].alias("size"))
+
+
+@query("flatten_missing_keeps", f"SELECT path, CAST(NULL AS VARCHAR) AS kind FROM {_P}")
+def flatten_missing_keeps(spark, sf_dir):
+    rows = vault(spark, sf_dir, "parts").pages(inlinks=False).flatten("nothing")
+    return rows.df.select("path", rows.column("nothing")["kind"].alias("kind"))
+
+
+@query("flatten_twice", f"SELECT path, s AS size, k AS kind FROM (SELECT path, CAST(unnest([p_size, p_size + 1]) AS DOUBLE) AS s, ['a', '#part/' || lower(string_split(p_type, ' ')[1])] AS ks FROM {_P} WHERE p_partkey % 3 = 0 UNION ALL SELECT path, CAST(p_size AS DOUBLE), ['a', '#part/' || lower(string_split(p_type, ' ')[1])] FROM {_P} WHERE p_partkey % 3 = 2), unnest(ks) AS u(k)")
+def flatten_twice(spark, sf_dir):
+    rows = vault(spark, sf_dir, "parts").pages(inlinks=False).flatten("sizes").flatten("kinds").sort("sizes")
+    return rows.df.select("path", rows.column("sizes")["n"].alias("size"), rows.column("kinds")["s"].alias("kind"))
+
+
+@query("flatten_tags", f"SELECT path, '#order/' || lower(o_orderstatus) AS tag FROM {_O}")
+def flatten_tags(spark, sf_dir):
+    rows = vault(spark, sf_dir, "orders").pages(inlinks=False).flatten("tags")
+    return rows.df.select("path", rows.column("tags")["s"].alias("tag"))
+
+
+@query("count_rows", f"SELECT count(*) AS n FROM {_O} WHERE total > 100000")
+def count_rows(spark, sf_dir):
+    rows = vault(spark, sf_dir, "orders").pages("orders/", inlinks=False).where("total > 100000")
+    return rows.df.agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- tasks
+
+_T = f"""(SELECT o.path, o.total, l_linestatus = 'F' AS completed, 'ship part ' || l_partkey || ' line ' || l_linenumber AS text,
+    l_linenumber, l_partkey, l_suppkey, o.o_orderstatus FROM {_O} o JOIN lineitem ON l_orderkey = o_orderkey)"""
+
+
+@query("tasks_all", f"SELECT path, completed, text FROM {_T}")
+def tasks_all(spark, sf_dir):
+    return vault(spark, sf_dir, "orders", tasks=True).tasks(inlinks=False).select(path="file.path", completed="task.completed", text="task.text")
+
+
+@query("tasks_completed", f"SELECT path, text FROM {_T} WHERE completed AND o_orderstatus = 'F'")
+def tasks_completed(spark, sf_dir):
+    rows = vault(spark, sf_dir, "orders", tasks=True).tasks("orders/f/", inlinks=False).where("task.completed == true")
+    return rows.select(path="file.path", text="task.text")
+
+
+@query("tasks_parent_fields", f"SELECT path, total, text FROM {_T} WHERE total > 300000 AND NOT completed")
+def tasks_parent_fields(spark, sf_dir):
+    rows = vault(spark, sf_dir, "orders", tasks=True).tasks(inlinks=False).where("total > 300000 and task.completed == false")
+    return rows.df.select("path", rows.column("total")["n"].alias("total"), F.col("task.text").alias("text"))
+
+
+@query("tasks_on_pages_null", f"SELECT path FROM {_O}")
+def tasks_on_pages_null(spark, sf_dir):
+    return paths(vault(spark, sf_dir, "orders").pages(inlinks=False).where("task.completed == null and task.text == null"))
+
+
+# ---- links
+
+
+@query("outlinks", f"SELECT path, 'customer-' || o_custkey AS target, 'wikilink' AS kind FROM {_O}")
+def outlinks(spark, sf_dir):
+    v = vault(spark, sf_dir, "orders")
+    return v.notes.select("path", F.explode("outlinks").alias("o")).select("path", "o.target", "o.kind")
+
+
+_LINKED = f"SELECT c.path AS target, o.path AS source FROM {_O} o JOIN {_C} c ON c.c_custkey = o.o_custkey"
+
+
+@query("links_nearest", _LINKED)
+def links_nearest(spark, sf_dir):
+    return vault(spark, sf_dir, "orders", "customers").links
+
+
+@query("inlinks", f"SELECT target AS path, list(source ORDER BY string_split(source, '/')) AS inlinks FROM ({_LINKED}) GROUP BY target UNION ALL SELECT path, CAST([] AS VARCHAR[]) FROM {_C} WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def inlinks(spark, sf_dir):
+    # the linkers are outside of the source, and count all the same
+    return vault(spark, sf_dir, "orders", "customers").pages("customers/").select(path="file.path", inlinks="inlinks")
+
+
+@query("inlinks_count", f"SELECT target AS path, count(*) AS n FROM ({_LINKED}) GROUP BY target")
+def inlinks_count(spark, sf_dir):
+    rows = vault(spark, sf_dir, "orders", "customers").pages("@Customer").flatten("inlinks")
+    return rows.df.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("links_tie_none", "SELECT path FROM (SELECT 1 AS path) WHERE false")
+def links_tie_none(spark, sf_dir):
+    """Two notes of each stem, as near as each other to the linker: nothing resolves."""
+    from notelake.operators.links import edges
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("k"))
+    none = F.array().cast("array<struct<target:string,text:string,kind:string,embedded:boolean>>")
+    link = F.array(F.struct(F.col("k").alias("target"), F.col("k").alias("text"), F.lit("wikilink").alias("kind"), F.lit(False).alias("embedded")))
+    notes = c.select(F.concat(F.lit("a/"), "k", F.lit(".md")).alias("path"), none.alias("outlinks")).unionByName(c.select(F.concat(F.lit("b/"), "k", F.lit(".md")).alias("path"), none.alias("outlinks"))).unionByName(c.select(F.concat(F.lit("c/from-"), "k", F.lit(".md")).alias("path"), link.alias("outlinks")))
+    return edges(notes).select(F.lit(1).alias("path"))
