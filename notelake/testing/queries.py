@@ -263,3 +263,109 @@ def links_tie_none(spark, sf_dir):
     link = F.array(F.struct(F.col("k").alias("target"), F.col("k").alias("text"), F.lit("wikilink").alias("kind"), F.lit(False).alias("embedded")))
     notes = c.select(F.concat(F.lit("a/"), "k", F.lit(".md")).alias("path"), none.alias("outlinks")).unionByName(c.select(F.concat(F.lit("b/"), "k", F.lit(".md")).alias("path"), none.alias("outlinks"))).unionByName(c.select(F.concat(F.lit("c/from-"), "k", F.lit(".md")).alias("path"), link.alias("outlinks")))
     return edges(notes).select(F.lit(1).alias("path"))
+
+
+# ---- functions: over texts and numbers of the tables
+
+
+def function(name: str, source: str, sql: str, columns: Callable[[], dict], table: str) -> None:
+    """A query of key columns and one or more function results over a table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*[c.alias(n) for n, c in columns().items()])
+
+    query(f"fn_{name}", f"SELECT {sql} FROM {source}")(run)
+
+
+def _functions() -> None:
+    from notelake.functions import dates as d
+    from notelake.functions import numbers as n
+    from notelake.functions import paths as p
+    from notelake.functions import strings as s
+
+    c = F.col
+    key = "p_partkey AS k"
+    part = lambda name, sql, col: function(name, "part", f"{key}, {sql} AS v", lambda: {"k": c("p_partkey"), "v": col()}, "part")
+    words = "list_transform(list_filter(string_split(p_name, ' '), lambda w: w <> ''), lambda w: lower(w))"
+    capital = "upper(w[1]) || lower(w[2:])"
+    part("snake_case", f"array_to_string({words}, '_')", lambda: s.snake_case(c("p_name")))
+    part("kebab_case", f"array_to_string({words}, '-')", lambda: s.kebab_case(c("p_name")))
+    part("pascal_case", f"array_to_string(list_transform({words}, lambda w: {capital}), '')", lambda: s.pascal_case(c("p_name")))
+    part("title_case", f"array_to_string(list_transform({words}, lambda w: {capital}), ' ')", lambda: s.title_case(c("p_name")))
+    part("camel_case", f"lower(({words})[1]) || array_to_string(list_transform(({words})[2:], lambda w: {capital}), '')", lambda: s.camel_case(c("p_name")))
+    part("trim_prefix", "CASE WHEN starts_with(p_brand, 'Brand#1') THEN p_brand[8:] ELSE p_brand END", lambda: s.trim_prefix(c("p_brand"), "Brand#1"))
+    part("trim_suffix", "CASE WHEN ends_with(p_brand, '3') THEN p_brand[:-2] ELSE p_brand END", lambda: s.trim_suffix(c("p_brand"), "3"))
+    part("truncate", "CASE WHEN length(p_type) <= 10 THEN p_type ELSE p_type[1:7] || '...' END", lambda: s.truncate(c("p_type"), 10))
+    part("truncate_words", "CASE WHEN len(string_split(p_type, ' ')) <= 1 THEN p_type ELSE string_split(p_type, ' ')[1] || ' ...' END", lambda: s.truncate_words(c("p_type"), 1))
+    function("word_count", "documents", "doc_id AS k, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS v", lambda: {"k": c("doc_id"), "v": s.word_count(c("text"))}, "documents")
+    part("repeat", "repeat(p_brand, 3)", lambda: s.repeat(c("p_brand"), 3))
+    part("regex_replace", "regexp_replace(p_type, '[AEIOU]+', '_', 'g')", lambda: s.regex_replace(c("p_type"), "[AEIOU]+", "_"))
+    part("regex_match", "regexp_matches(p_type, 'A[A-Z]*D')", lambda: s.regex_match(c("p_type"), "A[A-Z]*D"))
+
+    part("ceil", "CAST(ceil(p_retailprice / 7) AS DOUBLE)", lambda: n.ceil(c("p_retailprice") / 7))
+    part("floor", "CAST(floor(p_retailprice / 7) AS DOUBLE)", lambda: n.floor(c("p_retailprice") / 7))
+    part("sqrt", "sqrt(p_size)", lambda: n.sqrt(c("p_size").cast("double")))
+    part("num_format", "printf('%.2f', CAST(p_size AS DOUBLE) / 3)", lambda: n.num_format(c("p_size").cast("double") / 3, 2))
+
+    path = lambda: F.concat(F.lit("parts/a.b/"), c("p_partkey").cast("string"), F.lit(".tar.gz"))
+    part("path_filename", "p_partkey || '.tar.gz'", lambda: p.path_filename(path()))
+    part("path_basename", "p_partkey || '.tar'", lambda: p.path_basename(path()))
+    part("path_extension", "'gz'", lambda: p.path_extension(path()))
+    part("path_parent", "'parts/a.b'", lambda: p.path_parent(path()))
+
+    day = lambda: F.date_format("o_orderdate", "yyyy-MM-dd")
+    moment = lambda: F.concat(day(), F.lit("T10:20:30"))
+    when = lambda name, sql, col: function(name, "orders", f"o_orderkey AS k, {sql} AS v", lambda: {"k": c("o_orderkey"), "v": col()}, "orders")
+    at = "CAST(strftime(o_orderdate, '%Y-%m-%d') || ' 10:20:30' AS TIMESTAMP)"
+    date = lambda e: f"strftime({e}, '%Y-%m-%d')"
+    full = lambda e: f"strftime({e}, '%Y-%m-%d %H:%M:%S')"
+    when("date_format", "strftime(o_orderdate, '%d/%m/%Y on day %j')", lambda: d.date_format(day(), "%d/%m/%Y on day %j"))
+    when("timestamp", f"CAST(epoch({at}) AS BIGINT)", lambda: d.timestamp(moment()))
+    when("from_timestamp", "strftime(CAST('1970-01-01' AS TIMESTAMP) + to_seconds(o_orderkey * 1000), '%Y-%m-%d %H:%M:%S')", lambda: d.from_timestamp(c("o_orderkey") * 1000, "%Y-%m-%d %H:%M:%S"))
+    when("date_add", full(f"{at} + INTERVAL 50 HOUR"), lambda: d.date_add(moment(), 50, "hours"))
+    when("date_sub", date("o_orderdate - INTERVAL 3 MONTH"), lambda: d.date_sub(day(), 3, "months"))
+    when("add_days", date("o_orderdate + INTERVAL 40 DAY"), lambda: d.add_days(day(), 40))
+    when("sub_days", full(f"{at} - INTERVAL 40 DAY"), lambda: d.sub_days(moment(), 40))
+    when("add_months", date("o_orderdate + INTERVAL 1 MONTH"), lambda: d.add_months(day(), 1))
+    when("sub_months", date("o_orderdate - INTERVAL 1 MONTH"), lambda: d.sub_months(day(), 1))
+    when("add_years", date("o_orderdate + INTERVAL 1 YEAR"), lambda: d.add_years(day(), 1))
+    when("sub_years", date("o_orderdate - INTERVAL 1 YEAR"), lambda: d.sub_years(day(), 1))
+    when("start_of_month", full(f"date_trunc('month', {at}) + INTERVAL 10 HOUR + INTERVAL 20 MINUTE + INTERVAL 30 SECOND"), lambda: d.start_of_month(moment()))
+    when("end_of_month", date("last_day(CAST(o_orderdate AS DATE))"), lambda: d.end_of_month(day()))
+    when("weekday", "CAST(isodow(o_orderdate) - 1 AS INTEGER)", lambda: d.weekday(day()))
+    when("is_leap_year", "year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0)", lambda: d.is_leap_year(day()))
+    when("date_diff_days", "CAST(date_diff('day', CAST('1996-02-29' AS DATE), CAST(o_orderdate AS DATE)) AS DOUBLE)", lambda: d.date_diff(day(), F.lit("1996-02-29"), "days"))
+    months = "((year(o_orderdate) - 1996) * 12 + month(o_orderdate) - 2)"
+    whole = f"CAST({months} - CASE WHEN {months} > 0 AND day(o_orderdate) < 15 THEN 1 WHEN {months} < 0 AND day(o_orderdate) > 15 THEN -1 ELSE 0 END AS BIGINT)"
+    when("date_diff_months", whole, lambda: d.date_diff(day(), F.lit("1996-02-15"), "months"))
+    when("is_past", "true", lambda: d.is_past(day()))
+    when("is_future", "false", lambda: d.is_future(moment()))
+
+
+_functions()
+
+
+@query("fn_today", "SELECT true AS v")
+def fn_today(spark, sf_dir):
+    """now, today, tomorrow and yesterday, against each other."""
+    from notelake.functions import dates as d
+
+    one = spark.range(1)
+    return one.select(((d.date_add(d.yesterday(), 2) == d.tomorrow()) & (d.add_days(d.today(), 1) == d.tomorrow()) & (F.char_length(d.now("%Y-%m-%d %H:%M")) == 16)).alias("v"))
+
+
+@query("fn_uuid", "SELECT 36 AS n")
+def fn_uuid(spark, sf_dir):
+    from notelake.functions.misc import uuid
+
+    return spark.range(1).select(F.char_length(uuid()).alias("n"))
+
+
+@query("fn_path_tests", f"SELECT path FROM {_C} WHERE c_custkey % 2 = 0 UNION ALL SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') FROM {_C}")
+def fn_path_tests(spark, sf_dir):
+    from notelake.functions.paths import path_exists
+
+    v = vault(spark, sf_dir, "customers")
+    own = v.files.filter(F.pmod(F.regexp_extract("path", r"(\d+)", 1).try_cast("long"), F.lit(2)) == 0).select("path")
+    asked = own.unionByName(v.files.select(F.col("folder").alias("path")).distinct()).unionByName(own.select(F.concat(F.lit("no/"), "path").alias("path")))
+    return path_exists(asked, v.files)
