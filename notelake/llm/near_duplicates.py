@@ -29,6 +29,8 @@ from .components import connected_components
 from .hashing import SPACE, mix, segments, span_hashes, word_spans
 
 WORDS, BANDS, ROWS = 5, 32, 6
+#: So many bands are verified before the others.
+FIRST_BANDS = 8
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: A block of a bucket holds about so many documents and so many shingles at most.
@@ -167,17 +169,8 @@ def forest(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
         label = low
 
 
-def links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that join, bucket by bucket, what is linked by exact similarity."""
-    entries = reps.select(F.col("id"), F.col("n"), F.explode("keys").alias("key"))
-    mark = F.xxhash64("id")
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 8)).alias("y")).filter("docs > 1")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    once = buckets.groupBy("docs", "shingles", "x", "y").agg(F.min("key").alias("key")).select("key", parts.alias("parts"))
-    members = written(entries.join(once, "key").select("key", "id", "parts"), "members")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = id_and_text(docs).join(wanted, "doc_id", "left_semi")
-    sets = written(full_sets(texts, words), "sets")
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")
     # every two blocks of a bucket meet; a bucket of one block meets itself
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
@@ -200,6 +193,28 @@ def links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFra
     return rows.groupBy("key", "i", "j").applyInArrow(verify, "a long, b long")
 
 
+def components(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component) of the classes that are linked.
+
+    The buckets of the first bands are verified first; of the others only those whose
+    documents aren't all in one component by then.
+    """
+    entries = reps.select(F.col("id"), F.col("n"), F.posexplode("keys").alias("band", "key"))
+    mark = F.xxhash64("id")
+    buckets = entries.groupBy("key").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 8)).alias("y")).filter("docs > 1")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    once = buckets.groupBy("docs", "shingles", "x", "y").agg(F.min(F.struct("band", "key")).alias("first")).select("first.key", (F.col("first.band") < FIRST_BANDS).alias("early"), parts.alias("parts"))
+    members = written(entries.select("key", "id").join(once, "key"), "members")
+    # as many as there are near duplicates: never a side to broadcast
+    wanted = members.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash")
+    sets = written(full_sets(id_and_text(docs).join(wanted, "doc_id", "left_semi"), words), "sets")
+    early = connected_components(_verified(members.filter("early"), sets, percent))
+    late = members.filter("not early").join(early, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = late.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+    more = _verified(late.join(open_, "key", "left_semi").select("key", "id", "parts"), sets, percent)
+    return connected_components(early.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row.
 
@@ -211,7 +226,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     made = written(sketches(docs, words, bands, rows), "sketches")
     some = made.filter("n > 0 and doc_id is not null")
     reps = written(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    found = connected_components(links(docs, reps, words, percent))
+    found = components(docs, reps, words, percent)
     classes = reps.select("set_a", "set_b", "id").join(found, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component"))
     out = made.select("doc_id", "n", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     component = F.coalesce("component", "doc_id")
