@@ -91,6 +91,7 @@ class Stream:
         self.next_id, self.window, self.sentence_ids = base, window, sentence_ids
         self.parts: list[tuple[int, int, np.ndarray, int]] = []  # doc_id, start, ids, doc_tokens
         self.size = 0
+        self.grid = max(1, min(GRID, window // 4))
 
     def add(self, doc_id: int, ids: np.ndarray) -> Iterator[tuple]:
         at = 0
@@ -112,9 +113,9 @@ class Stream:
             places.append(np.array([at]))
             costs.append(np.array([0 if start + len(ids) == total else INNER_PENALTY]))
         pos, cost = np.concatenate(places), np.concatenate(costs)
-        wide = np.flatnonzero(np.diff(pos) > GRID)
+        wide = np.flatnonzero(np.diff(pos) > self.grid)
         if len(wide):
-            extra = np.concatenate([np.arange(pos[i] + GRID, pos[i + 1], GRID) for i in wide])
+            extra = np.concatenate([np.arange(pos[i] + self.grid, pos[i + 1], self.grid) for i in wide])
             pos, cost = np.concatenate([pos, extra]), np.concatenate([cost, np.full(len(extra), INNER_PENALTY)])
             order = np.argsort(pos, kind="stable")
             pos, cost = pos[order], cost[order]
