@@ -369,3 +369,37 @@ def fn_path_tests(spark, sf_dir):
     own = v.files.filter(F.pmod(F.regexp_extract("path", r"(\d+)", 1).try_cast("long"), F.lit(2)) == 0).select("path")
     asked = own.unionByName(v.files.select(F.col("folder").alias("path")).distinct()).unionByName(own.select(F.concat(F.lit("no/"), "path").alias("path")))
     return path_exists(asked, v.files)
+
+
+# ---- refresh, rendering, persisting
+
+
+@query("refresh_diff", f"SELECT path, CASE WHEN o_orderkey % 10 = 3 THEN 'removed' WHEN o_orderkey % 10 = 5 THEN 'added' WHEN o_orderkey % 10 = 7 THEN 'changed' ELSE 'same' END AS change FROM {_O}")
+def refresh_diff(spark, sf_dir):
+    from notelake.sources.index import diff
+
+    files = vault(spark, sf_dir, "orders").files
+    digit = F.pmod(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long"), F.lit(10))
+    before = files.filter(digit != 5)
+    now = files.filter(digit != 3).withColumn("size", F.col("size") + F.when(digit == 7, 1).otherwise(0))
+    return diff(now, before)
+
+
+def _text(spark, text: str) -> DataFrame:
+    return spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n")[:-1])], "line int, text string")
+
+
+@query("render_table")
+def render_table(spark, sf_dir):
+    rows = vault(spark, sf_dir, "orders").pages("orders/f/", inlinks=False).sort("total", True).limit(10)
+    return _text(spark, rows.table(["Name", "Total", "Placed"], ["file.name", "total", "placed"]))
+
+
+@query("render_list", f"SELECT CAST(row_number() OVER (ORDER BY balance DESC, {_BY_PATH}) - 1 AS INTEGER) AS line, '- ' || name AS text FROM {_C} ORDER BY balance DESC, {_BY_PATH} LIMIT 20")
+def render_list(spark, sf_dir):
+    return _text(spark, vault(spark, sf_dir, "customers").pages(inlinks=False).sort("balance", True).limit(20).list("file.name"))
+
+
+@query("render_task_list")
+def render_task_list(spark, sf_dir):
+    return _text(spark, vault(spark, sf_dir, "orders", tasks=True).tasks("orders/f/", inlinks=False).limit(30).task_list())
