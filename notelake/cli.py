@@ -1,4 +1,4 @@
-"""Commands over a directory of notes: index, list, table, task. Results go to stdout, counts to stderr."""
+"""Commands over a directory of notes: index, list, table, task, template. Results go to stdout, counts to stderr."""
 
 from __future__ import annotations
 
@@ -31,9 +31,35 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--order", choices=("asc", "desc"), default="asc")
         if name == "table":
             c.add_argument("--column", action="append", required=True)
+    t = sub.add_parser("template")
+    t.add_argument("name", nargs="?")
+    t.add_argument("--templates", default=".traces/templates")
+    t.add_argument("--list", action="store_true", dest="names")
+    t.add_argument("-o", "--output")
+    t.add_argument("-f", "--force", action="store_true")
+    t.add_argument("-n", "--dry-run", action="store_true")
     return p
 
 
+def run_template(args: argparse.Namespace, spark, vault, registry, out, err) -> int:
+    from notelake import template
+
+    folder = os.path.join(args.root, args.templates)
+    if args.names or not args.name:
+        for stem in sorted({os.path.splitext(f)[0] for f in os.listdir(folder)} if os.path.isdir(folder) else []):
+            print(stem, file=out)
+        return 0
+    with open(template.find(args.name, folder), encoding="utf-8") as f:
+        text = f.read()
+    engine = template.Engine(spark, vault, args.root, registry)
+    done = engine.render(text)
+    if args.dry_run:
+        out.write(done)
+        return 0
+    print(template.write(args.root, args.output or engine.output or f"{os.path.splitext(args.name)[0]}.md", done, args.force), file=err)
+    return 0
+
+
 def session():
     from pyspark.sql import SparkSession
 
@@ -58,6 +84,8 @@ def run(args: argparse.Namespace, spark=None, out=None, err=None) -> int:
         index.persist(full, where)
         print(f"indexed {full.files.count()} files", file=err)
         return 0
+    if args.command == "template":
+        return run_template(args, spark, vault, registry, out, err)
     rows = vault.tasks(source) if args.command == "task" else vault.pages(source)
     if args.where:
         rows = rows.where(args.where)
