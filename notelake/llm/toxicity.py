@@ -27,9 +27,11 @@ from .common import arrow_schema, bytes_of, id_and_text
 from .hashing import mix, segments, span_hashes, word_spans
 
 GRADES = 4
-SAMPLE, VOCABULARY = 6_000, 2000
+SAMPLE, VOCABULARY = 4_500, 2000
 #: A feature is taken if its log-odds are so many standard errors from 0.
 LEAST_Z = 3.3
+#: Fewer documents than these can't put a feature so far from 0.
+LEAST_DOCS = 5
 PREFIXES = (4, 5, 6)
 PASSAGE = 200
 #: Share of toxic training rows that may fall below the toxic threshold.
@@ -137,7 +139,7 @@ def fit_rows(rows: list[tuple[bytes, int]], size: int = VOCABULARY) -> Model:
         docs.append((ps, y))
         n[y] += 1
         (toxic if y else clean).update(set().union(*map(_features, ps)) if ps else ())
-    odds = {w: np.log((toxic[w] + 0.5) / (n[1] + 1)) - np.log((clean[w] + 0.5) / (n[0] + 1)) for w in toxic.keys() | clean.keys()}
+    odds = {w: np.log((toxic[w] + 0.5) / (n[1] + 1)) - np.log((clean[w] + 0.5) / (n[0] + 1)) for w in toxic.keys() | clean.keys() if toxic[w] + clean[w] >= LEAST_DOCS}
     z = {w: abs(o) / (1 / (toxic[w] + 0.5) + 1 / (clean[w] + 0.5)) ** 0.5 for w, o in odds.items()}
     names = sorted((w for w in odds if z[w] >= LEAST_Z), key=lambda w: (-z[w], w[0], w[1] or 0))[:size]
     if not names or not all(n):
