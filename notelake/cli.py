@@ -18,7 +18,7 @@ from notelake.sources.scan import INDEX_DIR
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="notelake")
     p.add_argument("--root", default=".")
-    p.add_argument("--schemas", default=".traces/schemas")
+    p.add_argument("--schemas", default=".notelake/schemas")
     p.add_argument("--class-field", default="class")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("index")
@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--column", action="append", required=True)
     t = sub.add_parser("template")
     t.add_argument("name", nargs="?")
-    t.add_argument("--templates", default=".traces/templates")
+    t.add_argument("--templates", default=".notelake/templates")
     t.add_argument("--list", action="store_true", dest="names")
     t.add_argument("-o", "--output")
     t.add_argument("-f", "--force", action="store_true")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 FILES_DDL = "path string, created_at timestamp, modified_at timestamp, size long"
 #: Of the index itself, which isn't part of the vault; relative to the root.
-INDEX_DIR = ".traces/index"
+INDEX_DIR = ".notelake/index"
 
 
 def walk(root: str) -> Iterator[tuple[str, dt.datetime | None, dt.datetime, int]]:
