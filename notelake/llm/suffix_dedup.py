@@ -34,10 +34,12 @@ from .hashing import window_hashes
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a run; hashes and suffixes for which a bucket is planned.
-RUN_BYTES, BUCKET_HASHES, BUCKET_SUFFIXES = 6 << 20, 1_500_000, 300_000
+RUN_BYTES, BUCKET_HASHES, BUCKET_SUFFIXES = 4 << 20, 700_000, 120_000
 #: Texts are searched for anchors in slices of so many bytes.
 SLICE = 1 << 20
 LANES = 512
+#: Contexts that are gathered at once.
+GATHERED = 32_768
 _U = np.uint64
 
 
@@ -152,8 +154,8 @@ class Run:
         """Sort the suffixes at anchors of shared hashes, equal contexts once."""
         want = np.flatnonzero(shared[self.of])
         keys, lens = [], []
-        for at in range(0, len(want), 200_000):
-            k, n = self._keys(self.places[want[at : at + 200_000]], self.doc[want[at : at + 200_000]])
+        for at in range(0, len(want), GATHERED):
+            k, n = self._keys(self.places[want[at : at + GATHERED]], self.doc[want[at : at + GATHERED]])
             keys.append(k)
             lens.append(n)
         self.occ = want
