@@ -37,7 +37,7 @@ LENGTH, GRAM = 50, 24
 RUN_BYTES, BUCKET_HASHES, BUCKET_SUFFIXES = 4 << 20, 700_000, 120_000
 #: Texts are searched for anchors in slices of so many bytes.
 SLICE = 1 << 20
-LANES = 512
+LANES = 1024
 #: Contexts that are gathered at once.
 GATHERED = 32_768
 _U = np.uint64
@@ -254,7 +254,7 @@ def merge(words: np.ndarray, lcp: np.ndarray, run: np.ndarray, n_runs: int, lane
     n, width = words.shape
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lanes = int(max(1, min(lanes, n // (2 * n_runs))))
+    lanes = int(max(1, min(lanes, 2 * n // n_runs)))
     lane = _lanes(words, lanes) if lanes > 1 else np.zeros(n, np.int64)
     size = 1 << max(0, (n_runs - 1).bit_length())
     counts = np.bincount(run * lanes + lane, minlength=n_runs * lanes).reshape(n_runs, lanes)
