@@ -6,10 +6,16 @@ that share no phrase with any template. A temperature is fitted on held-out rows
 are calibrated, and a family is believed only above a probability that held-out unknown paragraphs
 hardly reach. A prediction counts once a template of the family confirms it: CONFIRM of the template's
 word pairs are in the paragraph.
+
+A paragraph is a line, or a run of neighbouring lines without a line between that has no letter or digit, as
+notices are often wrapped: every run of up to LONGEST words between its first and its last line that begins
+with a line of a template's pairs. Marks before a line's first letter or digit, as of comments, don't count. Of runs
+that share a line, the one with the highest share of a template is taken, then the shortest.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,22 +35,22 @@ SAMPLE_PARAGRAPHS = 3000
 MISTAKEN, LEAST_PROBABILITY = 0.002, 0.5
 TEMPERATURES = (0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0)
 
-# Short notices by which texts state their licence.
+# Short notices and first sentences of headers by which texts state their licence.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "agpl": ("Licensed under the GNU Affero General Public License, version 3.", "This program is free software under the terms of the GNU Affero General Public License."),
-    "apache": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    "bsd": ("Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    "cc0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
-    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software; you can redistribute it under the terms of the GNU General Public License."),
-    "isc": ("Released under the ISC License.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."),
-    "lgpl": ("Licensed under the GNU Lesser General Public License, version 3.", "This library is free software under the terms of the GNU Lesser General Public License."),
-    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    "mpl": ("Released under the Mozilla Public License 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    "proprietary": ("All rights reserved.", "No part of this work may be reproduced without the prior written permission of the publisher."),
+    "agpl": ("Licensed under the GNU Affero General Public License, version 3.", "This program is free software under the terms of the GNU Affero General Public License.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "apache": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "The ASF licenses this file to you under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    "bsd": ("Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    "cc0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."),
+    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International license."),
+    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution-NonCommercial 4.0 International license."),
+    "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International license."),
+    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution-ShareAlike 4.0 International license."),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software; you can redistribute it under the terms of the GNU General Public License.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "isc": ("Released under the ISC License.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "lgpl": ("Licensed under the GNU Lesser General Public License, version 3.", "This library is free software under the terms of the GNU Lesser General Public License.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+    "mpl": ("Released under the Mozilla Public License 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License."),
+    "proprietary": ("All rights reserved.", "No part of this work may be reproduced without the prior written permission of the publisher.", "Unauthorized copying of this file, via any medium, is strictly prohibited."),
     "unlicense": ("This is free and unencumbered software released into the public domain.", "Released into the public domain under the Unlicense."),
 }
 # Lines about licences that aren't one.
@@ -56,6 +62,18 @@ NOT_LICENCES = (
 )
 
 
+def _ngrams(text: str, n: int) -> list[str]:
+    """As _runs of _words, here."""
+    w = [x for x in re.split(r"[^\w+-]+", text.lower()) if x]
+    return [" ".join(x) for x in zip(*[w[k:] for k in range(n)])]
+
+
+#: The different word pairs of each template.
+_PAIRS = {k: [sorted(set(_ngrams(t, 2))) for t in ts] for k, ts in TEMPLATES.items()}
+#: Words between the first and the last line of a run, and of each of these in a run: twice those of the longest template.
+LONGEST = 2 * max(len(_ngrams(t, 1)) for ts in TEMPLATES.values() for t in ts)
+
+
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value) with value computed once, where a plain use would copy its expression to each place."""
     return F.get(F.transform(F.array(value), then), 0)
@@ -104,7 +122,7 @@ def _probabilities(raw: Column, temperature: float) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, place and paragraph: the lines of each text that hold more than white space."""
+    """doc_id, place and paragraph: the lines of each text that hold more than white space, which the unknown class is trained on."""
     return id_and_text(docs).select("doc_id", F.posexplode(F.split("text", r"\n")).alias("place", "paragraph")).filter(F.trim("paragraph") != "")
 
 
@@ -112,7 +130,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS) -
     """The model: fitted on the templates' variants and about `sample` of the corpus's paragraphs."""
     names = [UNKNOWN, *sorted(TEMPLATES)]
     known = [(v, float(names.index(k))) for k, ts in TEMPLATES.items() for t in ts for v in _variants(t)] + [(v, 0.0) for t in NOT_LICENCES for v in _variants(t)]
-    phrases = F.array(*[F.lit(p) for p in sorted({" ".join(w) for ts in TEMPLATES.values() for t in ts for w in _triples(t)})])
+    phrases = F.array(*[F.lit(p) for p in sorted({w for ts in TEMPLATES.values() for t in ts for w in _ngrams(t, 3)})])
     # a few documents, and of each its paragraphs, by hashes of ids: the same rows whatever the partitions
     n = id_and_text(docs).filter("text is not null").count()
     place = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_003)) / 1_000_003
@@ -141,23 +159,50 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS) -
         rows.unpersist()
 
 
-def _triples(text: str) -> list[tuple[str, ...]]:
-    import re
+def _runs_of_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, version (of the text), first, last and paragraph: the lines and runs of lines that hold enough of a template.
 
-    w = [x for x in re.split(r"[^\w+-]+", text.lower()) if x]
-    return list(zip(w, w[1:], w[2:]))
+    first and last are places of lines: the block's number in the bits from 32 on, then the line's in it.
+    """
+    hits = lambda text: F.array_intersect(_runs(_words(text), 2), F.lit(sorted(set().union(*sum(_PAIRS.values(), [])))))
+    templates = F.array(*[F.lit(t) for ts in _PAIRS.values() for t in ts])
+    enough = lambda text: _let(hits(text), lambda h: (F.size(h) > 0) & F.exists(templates, lambda t: F.size(F.array_intersect(h, t)) >= CONFIRM * F.size(t)))
+    blocks = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split(F.regexp_replace("text", r"\n[^\p{L}\p{N}\n]+", "\n"), r"\n\n+")).alias("block", "lines"))
+    blocks = blocks.filter(enough(F.col("lines")))
+    # each line with those after it
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[^\p{L}\p{N}]+", ""), r"\s+", " ")
+    lines = F.filter(F.transform(F.split("lines", r"\n"), plain), lambda x: x != "")
+    after = _let(lines, lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.slice(x, i, LONGEST)))
+    starts = blocks.select("doc_id", "version", "block", F.posexplode(after).alias("line", "rest"))
+    # of a long line, the run before it or after it has what stands next to it
+    tail = F.substring_index(F.get("rest", 0), " ", -LONGEST)
+    head = lambda x: F.substring_index(x, " ", LONGEST)
+    starts = starts.filter((F.size(hits(F.concat_ws(" ", tail, F.get("rest", 1)))) > 0) | (F.size(hits(F.get("rest", 0))) > 0))
+    count = lambda a, x: F.when(a["words"] < LONGEST, F.struct((a["words"] + F.size(_words(x))).alias("words"), (a["lines"] + 1).alias("lines"))).otherwise(a)
+    n = F.aggregate(F.slice("rest", 2, LONGEST), F.struct(F.lit(0).alias("words"), F.lit(1).alias("lines")), count)["lines"]
+    run = lambda k: F.when(k == 1, F.get("rest", 0)).otherwise(F.concat_ws(" ", tail, F.slice("rest", F.lit(2), F.greatest(k - 2, F.lit(0))), head(F.get("rest", k - 1))))
+    starts = starts.select("doc_id", "version", "block", "line", "rest", n.alias("n"))
+    runs = starts.select("doc_id", "version", "block", "line", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), run)).alias("more", "paragraph"))
+    first = F.shiftleft(F.col("block").cast("long"), 32) + F.col("line")
+    return runs.filter(enough(F.col("paragraph"))).select("doc_id", "version", first.alias("first"), (first + F.col("more")).alias("last"), "paragraph")
 
 
 def licensed_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, place (the paragraph's number), family, probability and template_share of each confirmed licence paragraph."""
-    scored = model.classifier.transform(_features(paragraphs(docs)))
+    """doc_id, place (of the paragraph's first line), family, probability and template_share of each confirmed licence paragraph."""
+    scored = model.classifier.transform(_features(_runs_of_lines(docs)))
     scored = scored.withColumn("__p", _probabilities(F.col("rawPrediction"), model.temperature)).filter(F.col("prediction") > 0)
     scored = scored.withColumn("probability_", F.get("__p", F.col("prediction").cast("int"))).filter(F.col("probability_") >= model.least)
     names = F.array(*[F.lit(n) for n in model.names])
-    templates = F.array(*[F.array(*[_runs(_words(F.lit(t)), 2) for t in TEMPLATES.get(n, ("",))]) for n in model.names])
+    templates = F.array(*[F.array(*[F.lit(t) for t in _PAIRS.get(n, [[""]])]) for n in model.names])
     own = F.get(templates, F.col("prediction").cast("int"))
-    share = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect("__grams", t)) / F.greatest(F.size(F.array_distinct(t)), F.lit(1))))
-    return scored.withColumn("template_share", share).filter(F.col("template_share") >= CONFIRM).select("doc_id", "place", F.get(names, F.col("prediction").cast("int")).alias("family"), F.col("probability_").alias("probability"), "template_share")
+    share = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect("__grams", t)) / F.size(t)))
+    scored = scored.withColumn("template_share", share).filter(F.col("template_share") >= CONFIRM)
+    run = F.struct((-F.col("template_share")).alias("s"), (F.col("last") - F.col("first")).alias("n"), (-F.col("probability_")).alias("p"), "first", "last", F.get(names, F.col("prediction").cast("int")).alias("family"))
+    # the best run first, then those that share no line with a better one
+    runs = scored.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(run)).alias("runs"))
+    apart = lambda kept, r: F.when(F.exists(kept, lambda k: (k["first"] <= r["last"]) & (r["first"] <= k["last"])), kept).otherwise(F.concat(kept, F.array(r)))
+    kept = runs.select("doc_id", F.explode(F.aggregate("runs", F.slice("runs", 1, 0), apart)).alias("r"))
+    return kept.select("doc_id", F.col("r.first").alias("place"), "r.family", (-F.col("r.p")).alias("probability"), (-F.col("r.s")).alias("template_share"))
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -440,3 +440,19 @@ def test_licences(spark):
     assert [got[i]["families"] for i in range(8)] == ["mit", "apache", "", "", "", "gpl,mit", "", "cc-by-nc"]
     assert [got[i]["n_licences"] for i in range(8)] == [1, 1, 0, 0, 0, 2, 0, 1]
     assert len(got) == 24 and license_scan.scan(docs.limit(0), model).count() == 0
+
+
+def test_wrapped_licences(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    isc = "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without restriction."
+    comment = "x = 1\n" + "".join(f"-- {x}\r\n" for x in bsd.split("\n")) + "y = 2"
+    long = "word " * 400 + "Released under\nthe MIT License.\n" + "more " * 400
+    texts = [gpl, lgpl, bsd, isc, mit, comment, long, f"{isc}\n{isc}\n\n{mit}", "Released under\n\nthe MIT License.", "Released under the MIT License.\nReleased under the MIT License."]
+    docs = spark.createDataFrame(rows_of(texts), DOCS)
+    filler = spark.createDataFrame(rows_of(some_texts()), DOCS)
+    got = by_id(license_scan.scan(docs, license_scan.fit(spark, filler)))
+    assert [got[i]["families"] for i in range(10)] == ["gpl", "lgpl", "bsd", "isc", "mit", "bsd", "mit", "isc,mit", "", "mit"]
+    assert [got[i]["n_licences"] for i in range(10)] == [1, 1, 1, 1, 1, 1, 1, 3, 0, 2]
