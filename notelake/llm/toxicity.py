@@ -95,11 +95,9 @@ class Model:
             for k in np.unique(owner).tolist():
                 out[k] = max(out[k], 0.0)
             last = int(held[-1][0])
-            if last in rest:
-                p, words = rest.pop(last)
-                key = np.unique(np.concatenate([key, np.stack([np.full(len(words), last), np.full(len(words), p), words])], axis=1), axis=1)
-            elif rest:
-                rest.clear()
+            for k, (p, words) in rest.items():  # of the text that this buffer begins with, whichever it ends with
+                key = np.unique(np.concatenate([key, np.stack([np.full(len(words), k), np.full(len(words), p), words])], axis=1), axis=1)
+            rest.clear()
             if key.shape[1]:
                 tail = int((seen[last] - 1) // PASSAGE)
                 mine = (key[0] == last) & (key[1] == tail)

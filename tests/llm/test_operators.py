@@ -456,3 +456,13 @@ def test_wrapped_licences(spark):
     got = by_id(license_scan.scan(docs, license_scan.fit(spark, filler)))
     assert [got[i]["families"] for i in range(10)] == ["gpl", "lgpl", "bsd", "isc", "mit", "bsd", "mit", "isc,mit", "", "mit"]
     assert [got[i]["n_licences"] for i in range(10)] == [1, 1, 1, 1, 1, 1, 1, 3, 0, 2]
+
+
+def test_passage_over_a_border_before_other_texts(monkeypatch):
+    rows = [(("calm words here " * 40 + ("idiot scum " * 3 if i % 2 else "")).encode(), i % 2) for i in range(400)]
+    model = toxicity.fit_rows(rows)
+    texts = [b"idiot " + b"calm " * 10 + b"scum", b"calm", b"words here", b"calm words"]
+    whole = model.score(texts)
+    real = toxicity.segments
+    monkeypatch.setattr(toxicity, "segments", lambda t, size: real(t, 50))
+    assert len(model.hashes) and np.allclose(whole, model.score(texts))
