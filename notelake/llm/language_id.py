@@ -166,13 +166,14 @@ def identify(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
-    """The rows of docs in a learned language; those that are `und` go."""
+    """The rows of docs in a learned language; those that are `und`, or share no n-gram with a profile, go."""
     known = profiles or learn(docs)
     names = docs.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             texts = bytes_of(batch.column(names.index("text")))
-            yield batch.filter(pa.array([known.predict(t.decode("utf-8", "replace"))[0] != UNDETERMINED for t in texts], pa.bool_()))
+            got = [known.predict(t.decode("utf-8", "replace")) for t in texts]
+            yield batch.filter(pa.array([name != UNDETERMINED and score > 0 for name, score in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

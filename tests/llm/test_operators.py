@@ -466,3 +466,9 @@ def test_passage_over_a_border_before_other_texts(monkeypatch):
     real = toxicity.segments
     monkeypatch.setattr(toxicity, "segments", lambda t, size: real(t, 50))
     assert len(model.hashes) and np.allclose(whole, model.score(texts))
+
+
+def test_unlearned_scripts_are_not_accepted(spark):
+    df = spark.createDataFrame([(1, "the cat"), (2, "\u65e5\u672c\u8a9e \u4e2d\u6587"), (3, None)], "doc_id long, text string")
+    profiles = language_id.learn(spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(40)], "doc_id long, text string, lang string"))
+    assert [r["doc_id"] for r in language_id.accepted(df, profiles).collect()] == [1]
