@@ -402,4 +402,4 @@ def render_list(spark, sf_dir):
 
 @query("render_task_list")
 def render_task_list(spark, sf_dir):
-    return _text(spark, vault(spark, sf_dir, "orders", tasks=True).tasks("orders/f/", inlinks=False).limit(30).task_list())
+    return _text(spark, vault(spark, sf_dir, "orders", tasks=True).tasks("orders/f/", inlinks=False).task_list())

@@ -91,3 +91,11 @@ def test_persist_refresh_and_commands(spark, root, vault, tmp_path):
     assert command("table", "--where", "rating == 7", "--column", "file.path")[0].splitlines()[2] == "| b/note.md |"
     assert command("task", "--where", "task.completed == true") == ("- [x] second (a/note.md)\n", "1 tasks\n")
     assert cli.main(["--root", str(root), "list", "--where", "rating >"]) == 1
+
+
+def test_a_rendered_task_list_holds_every_task(spark):
+    from notelake.testing.queries import render_task_list, vault
+
+    sf = "/root/testdata/sf0.001"
+    n = vault(spark, sf, "orders", tasks=True).tasks("orders/f/", inlinks=False).df.count()
+    assert n > 30 and render_task_list(spark, sf).count() == n
