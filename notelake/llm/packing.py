@@ -132,8 +132,10 @@ class Stream:
         ends, at = [], 0
         for cut in cuts[1:]:
             size = cut - at
-            # a window that would need more padding than a few cuts cost goes into unpadded ones
-            pieces = [size] if size == self.window or self.window - size <= INNER_PENALTY else powers_of_two(size, self.window)
+            # a window goes into unpadded ones only where the cuts cost less than its padding
+            pieces = powers_of_two(size, self.window)
+            if INNER_PENALTY * (len(pieces) - 1) >= self.window - size:
+                pieces = [size]
             for p in pieces:
                 at += p
                 ends.append(at)

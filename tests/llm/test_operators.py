@@ -472,3 +472,10 @@ def test_unlearned_scripts_are_not_accepted(spark):
     df = spark.createDataFrame([(1, "the cat"), (2, "\u65e5\u672c\u8a9e \u4e2d\u6587"), (3, None)], "doc_id long, text string")
     profiles = language_id.learn(spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(40)], "doc_id long, text string, lang string"))
     assert [r["doc_id"] for r in language_id.accepted(df, profiles).collect()] == [1]
+
+
+def test_windows_are_split_only_where_cuts_are_cheaper():
+    for size, n in ((3967, 1), (4000, 1), (4096, 1), (2048, 1), (2049, 2), (3072, 2), (2047, 11)):
+        stream = packing.Stream(0, 4096, np.zeros(0, dtype="<u4"))
+        rows = [*stream.add(1, np.arange(size, dtype="<u4")), *stream.settle(True)]
+        assert len({r[5] for r in rows}) == n and sum(r[2] for r in rows) == size
