@@ -82,7 +82,7 @@ def rotation(vectors: DataFrame, width: int) -> tuple[np.ndarray, int]:
 def blocks(vectors: DataFrame, width: int, size: int, parts: int) -> DataFrame:
     """Blocks of at most `size` vectors by descending norm: block, norm (the longest), n, ids and data."""
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    rows = vectors.select("vec_id", "v", norm.alias("norm")).repartitionByRange(parts, F.desc("norm"), F.col("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id")
+    rows = vectors.select("vec_id", "v", norm.alias("norm"), F.monotonically_increasing_id().alias("row")).repartitionByRange(parts, F.desc("norm"), F.col("vec_id"), F.col("row")).sortWithinPartitions(F.desc("norm"), "vec_id", "row")
     schema = pa.schema([("norm", pa.float64()), ("n", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,7 @@ def blocks(vectors: DataFrame, width: int, size: int, parts: int) -> DataFrame:
                     schema=schema,
                 )
 
-    return rows.mapInArrow(run, "norm double, n int, ids binary, data binary").withColumn("block", F.monotonically_increasing_id())
+    return rows.select("vec_id", "v", "norm").mapInArrow(run, "norm double, n int, ids binary, data binary").withColumn("block", F.monotonically_increasing_id())
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -106,7 +106,7 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def best_of_block(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, c_ids: np.ndarray, c: np.ndarray, v: np.ndarray, head: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's `top` best of a block among scores of at least `least`."""
+    """(place in q, id, score) of each query's `top` best of a block among scores of at least `least`."""
     qr, cr = q @ v, c @ v
     rest = lambda m: np.sqrt(np.maximum((m[:, head:] ** 2).sum(axis=1), 0))
     scale = np.linalg.norm(qr, axis=1)[:, None] * np.linalg.norm(cr, axis=1)[None, :]
@@ -121,7 +121,7 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, c_ids: np
     a, b, score = a[order], b[order], score[order]
     first = np.searchsorted(a, a, side="left")
     best = np.arange(len(a)) - first < top
-    return q_ids[a[best]], c_ids[b[best]], score[best]
+    return a[best], c_ids[b[best]], score[best]
 
 
 _FLOOR = -(2**63)
@@ -132,11 +132,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = BLO
 
     vectors and queries hold (vec_id, v), as `integer_vectors` makes them. A query's own row isn't its
     candidate. Shorter vectors count as filled up with zeros. Fewer candidates give fewer rows; no
-    queries or no vectors give none. A repeated vec_id is taken once, the smallest of its vectors.
+    queries or no vectors give none. Of a repeated vec_id each row is a candidate, and a query whose candidates
+    are ranked with those of the id's other rows; no row of the id is a candidate of it.
     """
     spark = vectors.sparkSession
-    vectors = written(vectors.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    queries = written(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    vectors = written(vectors.select("vec_id", "v"), "vectors")
+    queries = written(queries.select("vec_id", "v"), "queries")
     stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     asked = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -160,11 +161,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = BLO
                 q_ids, q = np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, width)
                 out = np.full(len(q_ids), _FLOOR, dtype=np.int64)
                 a, _, s = best_of_block(q_ids, q, out, seed_ids, seed_data, v, head, k)
-                at = {x: i for i, x in enumerate(q_ids.tolist())}
-                kth = np.flatnonzero(np.bincount([at[x] for x in a.tolist()], minlength=len(q_ids)) == k)
+                kth = np.flatnonzero(np.bincount(a, minlength=len(q_ids)) == k)
                 last = {x: t for x, t in zip(a.tolist(), s.tolist())}  # rows come best first
                 for i in kth:
-                    out[i] = last[int(q_ids[i])]
+                    out[i] = last[int(i)]
                 least.append(out.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.binary())], names=[*names, "least"])
 
@@ -189,8 +189,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = BLO
         for batch in parts:
             for i in range(batch.num_rows):
                 q_ids, q, least, ids, data = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("q_ids", "q_data", "least", "ids", "data"))
-                got = best_of_block(q_ids, q.reshape(-1, width), least, ids, data.reshape(-1, width), v, head, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], schema=schema)
+                a, c, s = best_of_block(q_ids, q.reshape(-1, width), least, ids, data.reshape(-1, width), v, head, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q_ids[a], c, s)], schema=schema)
 
     found = work.select("q_ids", "q_data", "least", "ids", "data").mapInArrow(meet, ddl)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

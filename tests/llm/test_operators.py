@@ -479,3 +479,15 @@ def test_windows_are_split_only_where_cuts_are_cheaper():
         stream = packing.Stream(0, 4096, np.zeros(0, dtype="<u4"))
         rows = [*stream.add(1, np.arange(size, dtype="<u4")), *stream.settle(True)]
         assert len({r[5] for r in rows}) == n and sum(r[2] for r in rows) == size
+
+
+def test_topk_takes_every_row_of_an_id(spark):
+    rng = random.Random(9)
+    rows = [(i % 40, [rng.randint(-9, 9) for _ in range(4)]) for i in range(100)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted(tuple(r) for r in topk_search.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 5, block=16, query_block=4).collect())
+    want = []
+    for q in (0, 20):
+        scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for i, v in rows if i == q for j, w in rows if j != q)[:5]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    assert got == want
