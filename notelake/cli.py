@@ -93,11 +93,11 @@ def run(args: argparse.Namespace, spark=None, out=None, err=None) -> int:
         rows = rows.sort(args.sort, args.order == "desc")
     n = 0
     if args.command == "list":
-        for r in rows:
+        for r in rows.ordered("file.path").select("path").toLocalIterator():
             print(r["path"], file=out)
             n += 1
     elif args.command == "task":
-        for r in rows:
+        for r in rows.ordered("task.completed", "task.text").select("path", "task").toLocalIterator():
             print(f"- [{'x' if r['task']['completed'] else ' '}] {r['task']['text']} ({r['path']})", file=out)
             n += 1
     else:

@@ -155,18 +155,22 @@ def weekday(v: Column) -> Column:
     return F.weekday(parsed(v))
 
 
-def date_diff(v: Column, other: Column, unit: str = "days") -> Column:
-    """From `other` to v, in a unit.
+def date_diff(v: Column, other: Column, unit: str = "days", whole: bool | None = None) -> Column:
+    """From v to `other`, in a unit: positive where `other` is later.
 
-    Whole calendar years and months, whatever the time of day. Of the other units the exact number as a double:
-    whole where either text has no time.
+    Whole calendar years and months, whatever the time of day. Of the other units: with `whole`, units that are complete, as
+    a long; without it (False) the exact number, as a double. A column has one type, so by default (None) it
+    is a double that is exact where both texts have a time and whole where one has none.
     """
     a, b, name = parsed(v), parsed(other), _unit(unit)
     if name in ("year", "month"):
-        return F.timestamp_diff(name.upper(), F.date_trunc("DAY", b).cast("timestamp_ntz"), F.date_trunc("DAY", a).cast("timestamp_ntz"))
+        return F.timestamp_diff(name.upper(), F.date_trunc("DAY", a).cast("timestamp_ntz"), F.date_trunc("DAY", b).cast("timestamp_ntz"))
     seconds = {"day": 86400, "hour": 3600, "minute": 60, "second": 1}[name]
-    exact = F.timestamp_diff("MICROSECOND", b, a) / 1_000_000 / seconds
-    return F.when(_timed(v) & _timed(other), exact).otherwise(F.when(exact < 0, F.ceil(exact)).otherwise(F.floor(exact)).cast("double"))
+    exact = F.timestamp_diff("MICROSECOND", a, b) / 1_000_000 / seconds
+    complete = F.when(exact < 0, F.ceil(exact)).otherwise(F.floor(exact))
+    if whole is not None:
+        return complete if whole else exact
+    return F.when(_timed(v) & _timed(other), exact).otherwise(complete.cast("double"))
 
 
 def _utc_now() -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -10,9 +11,6 @@ from pyspark.sql import functions as F
 from notelake.errors import FieldPathError
 from notelake.values import SCALAR, VALUE, canonical_key
 
-FILE = ("path", "name", "folder", "size", "created_at", "ctime", "cdate", "modified_at", "mtime", "mdate")
-TASK = ("completed", "text")
-
 
 def edit_distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
@@ -29,39 +27,6 @@ def nearest(name: str, known) -> str | None:
     return best if best is not None and edit_distance(name, best) <= max(1, -(-len(name) // 2)) else None
 
 
-@dataclass(frozen=True)
-class Path:
-    """`file.x`, `task.x`, `tags`, `inlinks`, or a metadata key in its canonical form."""
-
-    space: str
-    name: str
-
-    @property
-    def key(self) -> str:
-        return f"{self.space}.{self.name}"
-
-
-def parse_path(text: str) -> Path:
-    text = text.strip()
-    for space, known in (("file", FILE), ("task", TASK)):
-        if text.startswith(space + "."):
-            name = text[len(space) + 1 :]
-            if not name or "." in name:
-                raise FieldPathError(text)
-            if name not in known:
-                close = nearest(name, known)
-                raise FieldPathError(text, f"{space}.{close}" if close else None)
-            return Path(space, name)
-    if text in ("", "file", "task") or "." in text:
-        raise FieldPathError(text)
-    if text in ("tags", "inlinks"):
-        return Path("list", text)
-    key = canonical_key(text)
-    if not key:
-        raise FieldPathError(text)
-    return Path("meta", key)
-
-
 @dataclass(frozen=True)
 class Cell:
     """A resolved path. kind: text, date, number, bool, texts (an array of strings), or value (a VALUE struct).
@@ -83,6 +48,79 @@ class Cell:
         return F.when(self.col.isNotNull(), _struct(name, **{slot: self.col}))
 
 
+@dataclass(frozen=True)
+class Accessor:
+    """What a built-in path stands for: the parts of a note that it reads, and its cell."""
+
+    needs: frozenset[str]
+    kind: str
+    col: Callable[[], Column]
+
+    def cell(self) -> Cell:
+        return Cell(self.kind, self.col())
+
+
+def _column(kind: str, name: str, needs: tuple[str, ...] = ()) -> Accessor:
+    return Accessor(frozenset(needs), kind, lambda: F.col(name))
+
+
+def _stamp(pattern: str, *columns: str) -> Accessor:
+    return Accessor(frozenset(), "date", lambda: F.date_format(F.coalesce(*columns), pattern))
+
+
+def _texts(name: str) -> Accessor:
+    return Accessor(frozenset([name]), "texts", lambda: F.coalesce(F.col(name), F.array().cast("array<string>")))
+
+
+_DAY, _SECOND = "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss"
+_BORN, _CHANGED = ("created_at", "modified_at"), ("modified_at",)
+#: Every built-in path. The word before a dot is a namespace, and no field of its own.
+ACCESSORS: dict[str, Accessor] = {
+    "file.path": _column("text", "path"), "file.name": _column("text", "name"), "file.folder": _column("text", "folder"),
+    "file.size": Accessor(frozenset(), "number", lambda: F.col("size").cast("double")),
+    "file.created_at": _stamp(_SECOND, *_BORN), "file.ctime": _stamp(_SECOND, *_BORN), "file.cdate": _stamp(_DAY, *_BORN),
+    "file.modified_at": _stamp(_SECOND, *_CHANGED), "file.mtime": _stamp(_SECOND, *_CHANGED), "file.mdate": _stamp(_DAY, *_CHANGED),
+    "task.completed": _column("bool", "task.completed", ("tasks",)), "task.text": _column("text", "task.text", ("tasks",)),
+    "tags": _texts("tags"), "inlinks": _texts("inlinks"),
+}
+NAMESPACES = sorted({k.partition(".")[0] for k in ACCESSORS if "." in k})
+
+
+@dataclass(frozen=True)
+class Path:
+    """`file.x`, `task.x`, `tags`, `inlinks`, or a metadata key in its canonical form."""
+
+    space: str
+    name: str
+
+    @property
+    def key(self) -> str:
+        return f"{self.space}.{self.name}"
+
+    @property
+    def accessor(self) -> Accessor | None:
+        return ACCESSORS.get(self.name if self.space == "list" else self.key) if self.space != "meta" else None
+
+    @property
+    def needs(self) -> frozenset[str]:
+        """The parts of a note that the path reads."""
+        return self.accessor.needs if self.accessor else frozenset(["fields"])
+
+
+def parse_path(text: str) -> Path:
+    """The path of a text: a built-in one by its exact spelling, or else, if it has no dot, a metadata key."""
+    wanted = text.strip()
+    space, dot, member = wanted.partition(".")
+    if wanted in ACCESSORS:
+        return Path(space, member) if dot else Path("list", wanted)
+    key = canonical_key(wanted)
+    if key and not dot and wanted not in NAMESPACES:
+        return Path("meta", key)
+    names = [k.partition(".")[2] for k in ACCESSORS if k.startswith(space + ".")] if member and "." not in member else []
+    close = nearest(member, names)
+    raise FieldPathError(wanted, f"{space}.{close}" if close else None)
+
+
 def _struct(kind: str, **slots: Column) -> Column:
     return F.struct(*[(F.lit(kind) if f.name == "kind" else slots.get(f.name, F.lit(None)).cast(f.dataType)).alias(f.name) for f in VALUE.fields])
 
@@ -104,17 +142,8 @@ def resolve(path: Path, overrides: dict[str, str]) -> Cell:
     """The cell of a path; what a flatten put in its place comes first."""
     if path.key in overrides:
         return Cell("value", F.col(overrides[path.key]))
-    if path.space == "file":
-        stamp = F.coalesce("created_at", "modified_at") if path.name in ("created_at", "ctime", "cdate") else F.col("modified_at")
-        if path.name in ("created_at", "ctime", "modified_at", "mtime"):
-            return Cell("date", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"))
-        if path.name in ("cdate", "mdate"):
-            return Cell("date", F.date_format(stamp, "yyyy-MM-dd"))
-        return Cell("number", F.col("size").cast("double")) if path.name == "size" else Cell("text", F.col(path.name))
-    if path.space == "task":
-        return Cell("bool" if path.name == "completed" else "text", F.col("task")[path.name])
-    if path.space == "list":
-        return Cell("texts", F.coalesce(F.col(path.name), F.array().cast("array<string>")))
+    if path.accessor:
+        return path.accessor.cell()
     # fields are stored with the frontmatter first, and the first of a key counts
     return Cell("value", F.get(F.filter("fields", lambda f: f["canonical"] == path.name), 0)["value"])
 

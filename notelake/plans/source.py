@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from notelake.errors import QuerySyntaxError
-from notelake.plans.logic import Cursor, Expr, parse, scan, unquote
+from notelake.plans.logic import Cursor, Expr, Token, parse, scan, unquote
+from notelake.plans.steps import Step
 
 log = logging.getLogger("notelake")
 
@@ -42,43 +43,58 @@ class ClassIs:
     matches: frozenset = field(default=frozenset(), compare=False)
 
 
+#: The marks after `@name`, the words in `class(name, word)` and the methods after `class(name)`, all for the same depths.
+_DEPTHS = {"": "exact", "+": "children", "*": "descendants"}
+_NAME = "the name of a class"
+
+
+def _text(t: Token) -> str:
+    return unquote(t.value) if t.kind == "quoted" else t.value
+
+
+def _class(name: str, at: Token, c: Cursor, depth: str = "exact") -> ClassIs:
+    return ClassIs(name, depth) if name else c.fail(_NAME, at)
+
+
+def _sigil(t: Token, c: Cursor) -> ClassIs:
+    name = t.value[1:].rstrip("+*")
+    return _class(name, t, c, _DEPTHS[t.value[1 + len(name) :]])
+
+
+def _path(t: Token, c: Cursor) -> Glob:
+    """A folder stands for all that is below it."""
+    return Glob(re.sub(r"/\Z", "/**", _text(t)))
+
+
+def _call(t: Token, c: Cursor) -> ClassIs:
+    """`class(name)`, with a depth either as a second argument or as a method, but not both."""
+    c.need("an opening parenthesis", "(")
+    name = c.need(_NAME, "quoted", "bare")
+    asked = []
+    if c.take(","):
+        word = c.need("a depth", "bare")
+        asked.append(word.value if word.value in ("children", "descendants") else c.fail("a depth, children or descendants", word))
+    c.need("a closing parenthesis", ")")
+    method = c.take("children", "descendants")
+    if method:
+        asked.append(method.kind if not asked else c.fail("a single depth", method))
+    return _class(_text(name), t, c, *asked)
+
+
+_ATOMS = {"tag": lambda t, c: Tag(t.value), "sigil": _sigil, "quoted": _path, "bare": _path, "class": _call}
+_ANY = "a tag, a path or a class"
+
+
 def _atom(c: Cursor):
-    t = c.peek()
-    if c.take("tag"):
-        return Tag(t.value)
-    if c.take("sigil"):
-        name, mark = (t.value[1:-1], t.value[-1]) if t.value[-1] in "+*" else (t.value[1:], "")
-        if not name:
-            c.fail("a File Class name", t)
-        return ClassIs(name, {"": "exact", "+": "children", "*": "descendants"}[mark])
-    if c.take("quoted", "bare"):
-        path = unquote(t.value) if t.kind == "quoted" else t.value
-        return Glob(path + "**" if path.endswith("/") else path)
-    if c.take("class"):
-        c.need("`(` after `class`", "(")
-        n = c.need("a File Class name", "quoted", "bare")
-        name = unquote(n.value) if n.kind == "quoted" else n.value
-        if not name:
-            c.fail("a File Class name", t)
-        depth = None
-        if c.take(","):
-            d = c.need("`children` or `descendants`", "bare")
-            if d.value not in ("children", "descendants"):
-                c.fail("`children` or `descendants`", d)
-            depth = d.value
-        c.need("`)`", ")")
-        method = c.take("children", "descendants")
-        if method and depth:
-            c.fail("one way of expansion", method)
-        return ClassIs(name, method.kind if method else depth or "exact")
-    return c.fail("a source term")
+    t = c.need(_ANY, *_ATOMS)
+    return _ATOMS[t.kind](t, c)
 
 
 def parse_source(text: str | None) -> Expr | None:
     """The expression; None, which selects every file, for a text that is omitted or blank."""
     if text is None or not text.strip():
         return None
-    return parse(Cursor("source", text, scan("source", text, _TOKENS, "a source term")), _atom)
+    return parse(Cursor("source", text, scan("source", text, _TOKENS, _ANY)), _atom)
 
 
 def with_depth(expr: Expr | None, depth: str) -> Expr | None:
@@ -115,6 +131,16 @@ def glob_column(path: Column, pattern: str) -> Column:
     return path.startswith(head) & whole if head else whole
 
 
+def source_steps(expr: Expr | None) -> tuple[Step, ...]:
+    """The expression as filters; what only files have to say goes ahead, also the part of it that holds for a mixed one."""
+    out = []
+    for part in expr.conjuncts() if expr else ():
+        needs = frozenset("tags" if isinstance(a, Tag) else "class_values" for a in part.atoms() if not isinstance(a, Glob))
+        files = part.bound(lambda a: isinstance(a, Glob))
+        out += [Step(n, lambda df, keep=compile_source(e): df.filter(keep)) for n, e in ((frozenset(), files), (needs, part if needs else None)) if e]
+    return tuple(out)
+
+
 def compile_source(expr: Expr | None) -> Column | None:
     def atom(a) -> Column:
         if isinstance(a, Tag):
@@ -127,4 +153,4 @@ def compile_source(expr: Expr | None) -> Column | None:
     return None if expr is None else expr.fold(atom)
 
 
-__all__ = ["ClassIs", "Glob", "QuerySyntaxError", "Tag", "compile_source", "glob_column", "parse_source", "with_classes", "with_depth"]
+__all__ = ["ClassIs", "Glob", "QuerySyntaxError", "Tag", "compile_source", "glob_column", "parse_source", "source_steps", "with_classes", "with_depth"]

@@ -196,7 +196,8 @@ def fields(text: str, task: bool = False) -> list[tuple[str, dict]]:
         if m:  # the rest of the line is the value, whatever it looks like
             _add(out, m[0], line[m.end() + 2 :])
             continue
-        i = 0
+        # a field in brackets has colons, a task's date a sign
+        i = 0 if "::" in line or (task and _TASK_DATE.search(line)) else len(line)
         while i < len(line):
             if line[i] in _OPENERS and not (i and line[i - 1] == "\\"):
                 found = _bracketed(line, i)

@@ -28,6 +28,8 @@ _DEFINITION = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(?:<([^<>]*)>|(\
 _AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)>")
 _INLINE_HTML = re.compile(r"<(?:/?[A-Za-z][^<>]*|!--.*?--|\?.*?\?|![A-Z][^>]*)>", re.S)
 _ESCAPABLE = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+#: A run without anything that may stand for something else.
+_PLAIN = re.compile(r"[^\\`!\[<&*_\n]+")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);")
 
 
@@ -51,6 +53,14 @@ class Note:
     tags: list = field(default_factory=list)
     outlinks: list = field(default_factory=list)
     items: list[Item] = field(default_factory=list)
+    #: Whether inline fields and tags are looked for.
+    metadata: bool = True
+
+
+#: The columns of a note, those that its body is read for, and those that fields and tags are looked for.
+ALL_PARTS = ("has_frontmatter", "fields", "tags", "class_values", "outlinks", "tasks", "items")
+_BODY = frozenset(["fields", "tags", "outlinks", "tasks", "items"])
+_METADATA = frozenset(["fields", "tags", "items"])
 
 
 # ---- blocks ------------------------------------------------------------------------------------
@@ -103,8 +113,9 @@ class _Blocks:
             item.scan += scanned
         else:
             _, scanned = spans(text, self.definitions, self.note.outlinks)
-            self.note.inline_fields += inline.fields(scanned)
-            self.note.tags += inline.tags(scanned)
+            if self.note.metadata:
+                self.note.inline_fields += inline.fields(scanned)
+                self.note.tags += inline.tags(scanned)
 
     def code(self, text: str) -> None:
         item = self.item()
@@ -113,11 +124,11 @@ class _Blocks:
 
     def flush(self, item: Item) -> None:
         """A parent's own metadata comes before that of the items below it."""
-        if item.scan:
+        if item.scan and self.note.metadata:
             item.fields = inline.fields(item.scan, item.task is not None)
             self.note.inline_fields += item.fields
             self.note.tags += inline.tags(item.scan)
-            item.scan = ""
+        item.scan = ""
 
     def close(self, depth: int) -> None:
         """Close the containers from a depth on."""
@@ -353,6 +364,11 @@ def spans(text: str, definitions: dict[str, str], outlinks: list) -> tuple[str,
         scanned.append(x)
 
     while i < len(text):
+        plain = _PLAIN.match(text, i)
+        if plain:
+            both(plain[0])
+            i = plain.end()
+            continue
         c = text[i]
         if c == "\\" and i + 1 < len(text) and text[i + 1] in _ESCAPABLE:
             both(text[i + 1])
@@ -423,9 +439,11 @@ def spans(text: str, definitions: dict[str, str], outlinks: list) -> tuple[str,
                 both(c * n)
             i += n
         elif c == "\n":
-            while shown and shown[-1] == " ":
-                shown.pop()
-                scanned.pop()
+            for out in (shown, scanned):
+                while out and out[-1].endswith(" "):
+                    out[-1] = out[-1].rstrip(" ")
+                    if not out[-1]:
+                        out.pop()
             both("\n")
             i += 1
         else:
@@ -478,17 +496,21 @@ def _image(text: str, at: int, definitions: dict[str, str]) -> tuple[str, int] |
 # ---- notes -------------------------------------------------------------------------------------
 
 
-def parse(text: str) -> Note:
-    """The note of a markdown text."""
+def parse(text: str, parts=ALL_PARTS) -> Note:
+    """The note of a markdown text; only what some parts of its row need is worked out."""
     note = Note()
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     if lines and lines[0].rstrip() == "---":
         end = next((i for i in range(1, len(lines)) if lines[i].rstrip() in ("---", "...")), None)
         if end is not None and not (len(lines) > 1 and not lines[1].strip() and end > 1):
-            data = frontmatter("\n".join(lines[1:end]))
-            note.has_frontmatter = data is not None
-            note.frontmatter = data or []
+            block = "\n".join(lines[1:end])
+            note.has_frontmatter = bool(block.strip())
+            if "fields" in parts or "class_values" in parts:
+                note.frontmatter = frontmatter(block) or []
             lines = lines[end + 1 :]
+    if not _BODY.intersection(parts):
+        return note
+    note.metadata = bool(_METADATA.intersection(parts))
     definitions = {}
     for x in lines:
         d = _DEFINITION.match(x)
@@ -504,24 +526,25 @@ def parse(text: str) -> Note:
     return note
 
 
-def as_row(note: Note, class_field: str = "class") -> dict:
-    """A note as the columns of the `notes` relation but for its path."""
+def as_row(note: Note, class_field: str = "class", parts=ALL_PARTS) -> dict:
+    """A note as the columns of the `notes` relation but for its path; only those among parts."""
 
     def fields(pairs, origin):
         return [{"name": k, "canonical": canonical_key(k), "origin": origin, "value": v} for k, v in pairs]
 
-    classes: list[str] = []
-    for k, v in note.frontmatter:
-        if canonical_key(k) == canonical_key(class_field):
-            some = v["items"] if v["kind"] == "list" else [v]
-            classes = [x["s"] for x in some if x["s"] is not None and x["kind"] in ("string", "date", "duration")]
-    tasks = [i for i in note.items if i.task]
-    return {
-        "has_frontmatter": note.has_frontmatter,
-        "fields": fields(note.frontmatter, "frontmatter") + fields(note.inline_fields, "inline"),
-        "tags": note.tags,
+    def classes():
+        """Of the frontmatter alone: texts, or the texts in a list."""
+        own = next((v for k, v in note.frontmatter if canonical_key(k) == canonical_key(class_field)), None)
+        some = [] if own is None else own["items"] if own["kind"] == "list" else [own]
+        return [x["s"] for x in some if x["s"] is not None and x["kind"] in ("string", "date", "duration")]
+
+    made = {
+        "has_frontmatter": lambda: note.has_frontmatter,
+        "fields": lambda: fields(note.frontmatter, "frontmatter") + fields(note.inline_fields, "inline"),
+        "tags": lambda: note.tags,
         "class_values": classes,
-        "outlinks": note.outlinks,
-        "tasks": [{"ord": n, "completed": i.task == "complete", "text": i.text} for n, i in enumerate(tasks)],
-        "items": [{"ord": i.ord, "parent_ord": i.parent_ord, "list_ord": i.list_ord, "ordered": i.ordered, "text": i.text, "task_status": i.task, "fields": fields(i.fields, "inline")} for i in note.items],
+        "outlinks": lambda: note.outlinks,
+        "tasks": lambda: [{"ord": n, "completed": i.task == "complete", "text": i.text} for n, i in enumerate(i for i in note.items if i.task)],
+        "items": lambda: [{"ord": i.ord, "parent_ord": i.parent_ord, "list_ord": i.list_ord, "ordered": i.ordered, "text": i.text, "task_status": i.task, "fields": fields(i.fields, "inline")} for i in note.items],
     }
+    return {p: made[p]() for p in parts}

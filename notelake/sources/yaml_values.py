@@ -12,7 +12,7 @@ from notelake.values import canonical_key, value
 _DATE_START = re.compile(r"\d{4}-\d{2}-\d{2}", re.ASCII)
 
 
-class _CoreLoader(yaml.SafeLoader):
+class _CoreLoader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     """Only null, true/false, integers and floats are resolved; a key written twice is an error."""
 
     yaml_implicit_resolvers = {}

@@ -37,19 +37,19 @@ def paths(rows: RecordSet) -> DataFrame:
     return rows.select(path="file.path")
 
 
-def pages(name: str, sql: str, kinds: tuple[str, ...], source: str | None = None, where: str | None = None, tasks: bool = False) -> None:
+def pages(name: str, sql: str, kinds: tuple[str, ...], source: str | None = None, where: str | None = None, tasks: bool = True) -> None:
     """A query for the paths of the pages that a source and a filter select."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = vault(spark, sf_dir, *kinds, tasks=tasks).pages(source, inlinks=False)
+        rows = vault(spark, sf_dir, *kinds, tasks=tasks).pages(source)
         return paths(rows.where(where) if where else rows)
 
     query(name, sql)(run)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vault(spark, sf_dir, "orders").pages("#order and orders/f/", inlinks=False).where("total > 100000").sort("total", True).limit(10)
-    return rows.df.select(F.col("name"), rows.column("total")["n"].alias("total"))
+    rows = vault(spark, sf_dir, "orders").pages("#order and orders/f/").where("total > 100000").sort("total", True).limit(10)
+    return rows.values("total").select(F.col("name"), rows.column("total")["n"].alias("total"))
 
 
 query("flagship_topk", f"SELECT name, total FROM {_O} WHERE o_orderstatus = 'F' AND total > 100000 ORDER BY total DESC, string_split(path, '/') LIMIT 10")(flagship)
@@ -62,7 +62,7 @@ _FOUR = ("orders", "customers", "parts", "documents")
 @query("scan_all_files", f"SELECT path, name, regexp_replace(path, '/[^/]*$', '') AS folder, CASE WHEN path LIKE '%.md' THEN 'note' ELSE 'other' END AS format FROM {_ALL}")
 def scan_all_files(spark, sf_dir):
     v = vault(spark, sf_dir, *_FOUR)
-    return v.pages(inlinks=False).df.select("path", "name", "folder", "format")
+    return v.pages().files.select("path", "name", "folder", "format")
 
 
 pages("source_all", f"SELECT path FROM {_ALL}", _FOUR)
@@ -85,25 +85,25 @@ pages("source_class_itself", f"SELECT path FROM {_P}", _FOUR, "@Part* and not @R
 
 @query("field_file", f"SELECT path, name, regexp_replace(path, '/[^/]*$', '') AS folder, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS mtime, strftime(o_orderdate, '%Y-%m-%d') AS mdate, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS ctime, strftime(o_orderdate, '%Y-%m-%d') AS cdate FROM {_O}")
 def field_file(spark, sf_dir):
-    rows = vault(spark, sf_dir, "orders").pages(inlinks=False)
+    rows = vault(spark, sf_dir, "orders").pages()
     return rows.select(path="file.path", name="file.name", folder="file.folder", mtime="file.mtime", mdate="file.mdate", ctime="file.created_at", cdate="file.cdate")
 
 
 @query("field_size", f"SELECT path, CAST(strlen(coalesce(text, '')) AS DOUBLE) AS size FROM {_D}")
 def field_size(spark, sf_dir):
-    return vault(spark, sf_dir, "documents").pages(inlinks=False).select(path="file.path", size="file.size")
+    return vault(spark, sf_dir, "documents").pages().select(path="file.path", size="file.size")
 
 
 @query("field_metadata", f"SELECT path, total, placed, o_orderpriority AS priority, 'customer-' || o_custkey AS customer FROM {_O}")
 def field_metadata(spark, sf_dir):
-    rows = vault(spark, sf_dir, "orders").pages(inlinks=False)
+    rows = vault(spark, sf_dir, "orders").pages()
     c = rows.column
-    return rows.df.select("path", c("total")["n"].alias("total"), c("placed")["s"].alias("placed"), c("Priority")["s"].alias("priority"), c("customer")["s"].alias("customer"))
+    return rows.values("total", "placed", "priority", "customer").select("path", c("total")["n"].alias("total"), c("placed")["s"].alias("placed"), c("Priority")["s"].alias("priority"), c("customer")["s"].alias("customer"))
 
 
 @query("field_tags", f"SELECT path, ['#order/' || lower(o_orderstatus)] AS tags FROM {_O}")
 def field_tags(spark, sf_dir):
-    return vault(spark, sf_dir, "orders").pages(inlinks=False).select(path="file.path", tags="tags")
+    return vault(spark, sf_dir, "orders").pages().select(path="file.path", tags="tags")
 
 
 # ---- filters
@@ -132,7 +132,7 @@ pages("filter_contains_nested_tag", f"SELECT path FROM {_P}", ("parts",), None,
 
 @query("filter_composed", f"SELECT path FROM {_O} WHERE total > 100000 AND total < 200000 AND o_orderpriority = '2-HIGH'")
 def filter_composed(spark, sf_dir):
-    return paths(vault(spark, sf_dir, "orders").pages(inlinks=False).where("total > 100000").where("total < 200000").filter('priority == "2-HIGH"'))
+    return paths(vault(spark, sf_dir, "orders").pages().where("total > 100000").where("total < 200000").filter('priority == "2-HIGH"'))
 
 
 # ---- order, limits, flattening, counting
@@ -140,7 +140,7 @@ def filter_composed(spark, sf_dir):
 
 def sorted_pages(name: str, order_by: str, source: str, kinds: tuple[str, ...], change) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return change(vault(spark, sf_dir, *kinds).pages(inlinks=False)).numbered().select("path", "position")
+        return change(vault(spark, sf_dir, *kinds).pages()).numbered().select("path", "position")
 
     query(name, f"SELECT path, row_number() OVER (ORDER BY {order_by}) AS position FROM {source}")(run)
 
@@ -157,43 +157,43 @@ sorted_pages("group_by_clusters", f"c_mktsegment, {_BY_PATH}", _C, ("customers",
 
 @query("limit_topk", f"SELECT path, total FROM {_O} ORDER BY total DESC, {_BY_PATH} LIMIT 25")
 def limit_topk(spark, sf_dir):
-    rows = vault(spark, sf_dir, "orders").pages(inlinks=False).sort("total", descending=True).limit(25)
-    return rows.df.select("path", rows.column("total")["n"].alias("total"))
+    rows = vault(spark, sf_dir, "orders").pages().sort("total", descending=True).limit(25)
+    return rows.values("total").select("path", rows.column("total")["n"].alias("total"))
 
 
 @query("limit_seals", f"SELECT path FROM (SELECT * FROM {_O} ORDER BY total DESC, {_BY_PATH} LIMIT 40) WHERE o_orderstatus = 'F'")
 def limit_seals(spark, sf_dir):
-    return paths(vault(spark, sf_dir, "orders").pages(inlinks=False).sort("total", True).limit(40).where('contains(tags, "#order/f")'))
+    return paths(vault(spark, sf_dir, "orders").pages().sort("total", True).limit(40).where('contains(tags, "#order/f")'))
 
 
 @query("flatten_list", f"SELECT path, CAST(s AS DOUBLE) AS size FROM (SELECT path, unnest([p_size, p_size + 1]) AS s FROM {_P} WHERE p_partkey % 3 = 0) UNION ALL SELECT path, CAST(p_size AS DOUBLE) FROM {_P} WHERE p_partkey % 3 = 2")
 def flatten_list(spark, sf_dir):
-    rows = vault(spark, sf_dir, "parts").pages(inlinks=False).flatten("sizes")
-    return rows.df.select("path", rows.column("sizes")["n"].alias("size"))
+    rows = vault(spark, sf_dir, "parts").pages().flatten("sizes")
+    return rows.values("sizes").select("path", rows.column("sizes")["n"].alias("size"))
 
 
 @query("flatten_missing_keeps", f"SELECT path, CAST(NULL AS VARCHAR) AS kind FROM {_P}")
 def flatten_missing_keeps(spark, sf_dir):
-    rows = vault(spark, sf_dir, "parts").pages(inlinks=False).flatten("nothing")
-    return rows.df.select("path", rows.column("nothing")["kind"].alias("kind"))
+    rows = vault(spark, sf_dir, "parts").pages().flatten("nothing")
+    return rows.values("nothing").select("path", rows.column("nothing")["kind"].alias("kind"))
 
 
 @query("flatten_twice", f"SELECT path, s AS size, k AS kind FROM (SELECT path, CAST(unnest([p_size, p_size + 1]) AS DOUBLE) AS s, ['a', '#part/' || lower(string_split(p_type, ' ')[1])] AS ks FROM {_P} WHERE p_partkey % 3 = 0 UNION ALL SELECT path, CAST(p_size AS DOUBLE), ['a', '#part/' || lower(string_split(p_type, ' ')[1])] FROM {_P} WHERE p_partkey % 3 = 2), unnest(ks) AS u(k)")
 def flatten_twice(spark, sf_dir):
-    rows = vault(spark, sf_dir, "parts").pages(inlinks=False).flatten("sizes").flatten("kinds").sort("sizes")
-    return rows.df.select("path", rows.column("sizes")["n"].alias("size"), rows.column("kinds")["s"].alias("kind"))
+    rows = vault(spark, sf_dir, "parts").pages().flatten("sizes").flatten("kinds").sort("sizes")
+    return rows.values("sizes", "kinds").select("path", rows.column("sizes")["n"].alias("size"), rows.column("kinds")["s"].alias("kind"))
 
 
 @query("flatten_tags", f"SELECT path, '#order/' || lower(o_orderstatus) AS tag FROM {_O}")
 def flatten_tags(spark, sf_dir):
-    rows = vault(spark, sf_dir, "orders").pages(inlinks=False).flatten("tags")
-    return rows.df.select("path", rows.column("tags")["s"].alias("tag"))
+    rows = vault(spark, sf_dir, "orders").pages().flatten("tags")
+    return rows.values("tags").select("path", rows.column("tags")["s"].alias("tag"))
 
 
 @query("count_rows", f"SELECT count(*) AS n FROM {_O} WHERE total > 100000")
 def count_rows(spark, sf_dir):
-    rows = vault(spark, sf_dir, "orders").pages("orders/", inlinks=False).where("total > 100000")
-    return rows.df.agg(F.count(F.lit(1)).alias("n"))
+    rows = vault(spark, sf_dir, "orders").pages("orders/").where("total > 100000")
+    return spark.createDataFrame([(rows.count(),)], "n long")
 
 
 # ---- tasks
@@ -204,24 +204,24 @@ _T = f"""(SELECT o.path, o.total, l_linestatus = 'F' AS completed, 'ship part '
 
 @query("tasks_all", f"SELECT path, completed, text FROM {_T}")
 def tasks_all(spark, sf_dir):
-    return vault(spark, sf_dir, "orders", tasks=True).tasks(inlinks=False).select(path="file.path", completed="task.completed", text="task.text")
+    return vault(spark, sf_dir, "orders").tasks().select(path="file.path", completed="task.completed", text="task.text")
 
 
 @query("tasks_completed", f"SELECT path, text FROM {_T} WHERE completed AND o_orderstatus = 'F'")
 def tasks_completed(spark, sf_dir):
-    rows = vault(spark, sf_dir, "orders", tasks=True).tasks("orders/f/", inlinks=False).where("task.completed == true")
+    rows = vault(spark, sf_dir, "orders").tasks("orders/f/").where("task.completed == true")
     return rows.select(path="file.path", text="task.text")
 
 
 @query("tasks_parent_fields", f"SELECT path, total, text FROM {_T} WHERE total > 300000 AND NOT completed")
 def tasks_parent_fields(spark, sf_dir):
-    rows = vault(spark, sf_dir, "orders", tasks=True).tasks(inlinks=False).where("total > 300000 and task.completed == false")
-    return rows.df.select("path", rows.column("total")["n"].alias("total"), F.col("task.text").alias("text"))
+    rows = vault(spark, sf_dir, "orders").tasks().where("total > 300000 and task.completed == false")
+    return rows.values("total", "task.text").select("path", rows.column("total")["n"].alias("total"), F.col("task.text").alias("text"))
 
 
 @query("tasks_on_pages_null", f"SELECT path FROM {_O}")
 def tasks_on_pages_null(spark, sf_dir):
-    return paths(vault(spark, sf_dir, "orders").pages(inlinks=False).where("task.completed == null and task.text == null"))
+    return paths(vault(spark, sf_dir, "orders").pages().where("task.completed == null and task.text == null"))
 
 
 # ---- links
@@ -250,7 +250,7 @@ def inlinks(spark, sf_dir):
 @query("inlinks_count", f"SELECT target AS path, count(*) AS n FROM ({_LINKED}) GROUP BY target")
 def inlinks_count(spark, sf_dir):
     rows = vault(spark, sf_dir, "orders", "customers").pages("@Customer").flatten("inlinks")
-    return rows.df.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return rows.files.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("links_tie_none", "SELECT path FROM (SELECT 1 AS path) WHERE false")
@@ -277,6 +277,11 @@ def function(name: str, source: str, sql: str, columns: Callable[[], dict], tabl
     query(f"fn_{name}", f"SELECT {sql} FROM {source}")(run)
 
 
+def _shown(v):
+    """A double as text, as DuckDB writes it."""
+    return F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == -1e300, "-1e+300").when(v == 4503599627370497.0, "4503599627370497.0").otherwise(v.cast("string"))
+
+
 def _functions() -> None:
     from notelake.functions import dates as d
     from notelake.functions import numbers as n
@@ -304,6 +309,9 @@ def _functions() -> None:
 
     part("ceil", "CAST(ceil(p_retailprice / 7) AS DOUBLE)", lambda: n.ceil(c("p_retailprice") / 7))
     part("floor", "CAST(floor(p_retailprice / 7) AS DOUBLE)", lambda: n.floor(c("p_retailprice") / 7))
+    edges = "CASE p_partkey % 6 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) WHEN 2 THEN -1e300 WHEN 3 THEN -0.25 WHEN 4 THEN CAST('-0.0' AS DOUBLE) ELSE 4503599627370497.0 END"
+    odd = lambda: F.expr("CASE p_partkey % 6 WHEN 0 THEN double('NaN') WHEN 1 THEN double('Infinity') WHEN 2 THEN -1e300D WHEN 3 THEN -0.25D WHEN 4 THEN double('-0.0') ELSE 4503599627370497.0D END")
+    function("ceil_edges", "part", f"{key}, CAST(ceil({edges}) AS VARCHAR) AS up, CAST(floor({edges}) AS VARCHAR) AS down", lambda: {"k": c("p_partkey"), "up": _shown(n.ceil(odd())), "down": _shown(n.floor(odd()))}, "part")
     part("sqrt", "sqrt(p_size)", lambda: n.sqrt(c("p_size").cast("double")))
     part("num_format", "printf('%.2f', CAST(p_size AS DOUBLE) / 3)", lambda: n.num_format(c("p_size").cast("double") / 3, 2))
 
@@ -334,10 +342,16 @@ def _functions() -> None:
     when("end_of_month", date("last_day(CAST(o_orderdate AS DATE))"), lambda: d.end_of_month(day()))
     when("weekday", "CAST(isodow(o_orderdate) - 1 AS INTEGER)", lambda: d.weekday(day()))
     when("is_leap_year", "year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0)", lambda: d.is_leap_year(day()))
-    when("date_diff_days", "CAST(date_diff('day', CAST('1996-02-29' AS DATE), CAST(o_orderdate AS DATE)) AS DOUBLE)", lambda: d.date_diff(day(), F.lit("1996-02-29"), "days"))
-    months = "((year(o_orderdate) - 1996) * 12 + month(o_orderdate) - 2)"
-    whole = f"CAST({months} - CASE WHEN {months} > 0 AND day(o_orderdate) < 15 THEN 1 WHEN {months} < 0 AND day(o_orderdate) > 15 THEN -1 ELSE 0 END AS BIGINT)"
-    when("date_diff_months", whole, lambda: d.date_diff(day(), F.lit("1996-02-15"), "months"))
+    # from the order's date to a fixed one: positive if that is later
+    when("date_diff_days", "date_diff('day', CAST(o_orderdate AS DATE), CAST('1996-02-29' AS DATE))", lambda: d.date_diff(day(), F.lit("1996-02-29"), "days", whole=True))
+    when("date_diff_hours", f"CAST(date_diff('second', {at}, CAST('1996-02-29 12:00:00' AS TIMESTAMP)) AS DOUBLE) / 3600", lambda: d.date_diff(moment(), F.lit("1996-02-29 12:00:00"), "hours"))
+    when("date_diff_minutes_untimed", f"CAST(trunc(date_diff('second', {at}, CAST('1996-02-29' AS TIMESTAMP)) / 60.0) AS BIGINT)", lambda: d.date_diff(moment(), F.lit("1996-02-29"), "minutes", whole=True))
+    # whole calendar units elapsed, with the sign of the way from the order's date to the fixed one
+    low, high = "least(CAST(o_orderdate AS DATE), DATE '1996-02-15')", "greatest(CAST(o_orderdate AS DATE), DATE '1996-02-15')"
+    sign = "CASE WHEN CAST(o_orderdate AS DATE) > DATE '1996-02-15' THEN -1 ELSE 1 END"
+    months = f"((year({high}) - year({low})) * 12 + month({high}) - month({low}) - CASE WHEN day({high}) < day({low}) THEN 1 ELSE 0 END)"
+    when("date_diff_months", f"CAST({sign} * {months} AS BIGINT)", lambda: d.date_diff(day(), F.lit("1996-02-15"), "months"))
+    when("date_diff_years", f"CAST({sign} * floor({months} / 12) AS BIGINT)", lambda: d.date_diff(day(), F.lit("1996-02-15"), "years"))
     when("is_past", "true", lambda: d.is_past(day()))
     when("is_future", "false", lambda: d.is_future(moment()))
 
@@ -391,15 +405,15 @@ def _text(spark, text: str) -> DataFrame:
 
 @query("render_table")
 def render_table(spark, sf_dir):
-    rows = vault(spark, sf_dir, "orders").pages("orders/f/", inlinks=False).sort("total", True).limit(10)
+    rows = vault(spark, sf_dir, "orders").pages("orders/f/").sort("total", True).limit(10)
     return _text(spark, rows.table(["Name", "Total", "Placed"], ["file.name", "total", "placed"]))
 
 
 @query("render_list", f"SELECT CAST(row_number() OVER (ORDER BY balance DESC, {_BY_PATH}) - 1 AS INTEGER) AS line, '- ' || name AS text FROM {_C} ORDER BY balance DESC, {_BY_PATH} LIMIT 20")
 def render_list(spark, sf_dir):
-    return _text(spark, vault(spark, sf_dir, "customers").pages(inlinks=False).sort("balance", True).limit(20).list("file.name"))
+    return _text(spark, vault(spark, sf_dir, "customers").pages().sort("balance", True).limit(20).list("file.name"))
 
 
 @query("render_task_list")
 def render_task_list(spark, sf_dir):
-    return _text(spark, vault(spark, sf_dir, "orders", tasks=True).tasks("orders/f/", inlinks=False).task_list())
+    return _text(spark, vault(spark, sf_dir, "orders").tasks("orders/f/").task_list())

@@ -77,8 +77,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 KINDS = {"orders": orders, "customers": customers, "parts": parts, "documents": documents}
 
 
-def vault(spark: SparkSession, sf_dir: str, *kinds: str, tasks: bool = False) -> Vault:
-    """The vault of the notes derived from some of the tables; orders have checkboxes only with tasks."""
+def vault(spark: SparkSession, sf_dir: str, *kinds: str, tasks: bool = True) -> Vault:
+    """The vault of the notes derived from some of the tables; orders have no checkboxes without tasks."""
     files = None
     for k in kinds or tuple(KINDS):
         one = orders(spark, sf_dir, tasks) if k == "orders" else KINDS[k](spark, sf_dir)

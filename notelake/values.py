@@ -7,6 +7,7 @@ repeat and their order matters.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
@@ -23,6 +24,7 @@ FIELD = T.StructType([T.StructField("name", T.StringType()), T.StructField("cano
 TEXT_KINDS = ("string", "date", "duration")
 
 
+@functools.lru_cache(4096)
 def canonical_key(name: str) -> str:
     """The form by which keys are compared; empty if nothing is left of the name.
 
