@@ -51,3 +51,27 @@ class TemplateError(NotelakeError):
 
 class ConfigError(NotelakeError):
     code = "config::error"
+
+
+class UntrustedError(ConfigError):
+    code = "config::untrusted"
+
+
+class OutputExistsError(TemplateError):
+    code = "template::output_exists"
+
+
+class OutsideError(TemplateError):
+    """A path that leaves the root."""
+
+    code = "path::outside"
+
+
+class CancelledError(NotelakeError):
+    """A person gave up; not a failure."""
+
+    code = "cancelled"
+
+
+class UsageError(NotelakeError):
+    code = "usage"

@@ -54,19 +54,26 @@ def _fs(spark: SparkSession, path: str):
 
 
 def persist(vault: Vault, where: str) -> str:
-    """Write the vault's tables as a new version below `where`, and point to it."""
+    """Write the vault's tables as a new version below `where`, and point to it.
+
+    Notes are parsed once: links come from the table just written, unless the vault has them read already. The pointer is replaced in one step
+    where the file system can do that, so that a reader finds the old version or the new one.
+    """
     spark = vault.files.sparkSession
     version = f"v-{uuid.uuid4().hex}"
-    for name in ("files", "notes", "links"):
-        getattr(vault, name).write.parquet(f"{where}/{version}/{name}")
+    vault.files.write.parquet(f"{where}/{version}/files")
+    vault.notes.write.parquet(f"{where}/{version}/notes")
+    edges(spark.read.schema(NOTE).parquet(f"{where}/{version}/notes")).write.parquet(f"{where}/{version}/links")
     pointer, fs = _fs(spark, f"{where}/{_POINTER}")
     fresh, _ = _fs(spark, f"{where}/{_POINTER}.{version}")
     out = fs.create(fresh, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(pointer, False)
-    if not fs.rename(fresh, pointer):
-        raise OSError(f"{where}/{_POINTER} can't be set")
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else fs.getUri(), hadoop).rename(fs.makeQualified(fresh), fs.makeQualified(pointer), options)
     return version
 
 

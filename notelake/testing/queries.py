@@ -68,7 +68,7 @@ def scan_all_files(spark, sf_dir):
 pages("source_all", f"SELECT path FROM {_ALL}", _FOUR)
 pages("source_tag", f"SELECT path FROM {_O} WHERE o_orderstatus = 'F'", ("orders", "customers"), "#order/f")
 pages("source_tag_nested", f"SELECT path FROM {_O}", ("orders", "customers"), "#order")
-pages("source_exact", f"SELECT path FROM {_C} WHERE path = 'customers/building/customer-1.md' OR path = 'customers/machinery/customer-3.md'", ("customers",), "customers/building/customer-1.md or 'customers/machinery/customer-3.md'")
+pages("source_exact", f"SELECT path FROM {_C} WHERE path = 'customers/machinery/customer-1.md' OR path = 'customers/household/customer-3.md'", ("customers",), "customers/machinery/customer-1.md or 'customers/household/customer-3.md' or customers/none/customer-3.md")
 pages("source_folder", f"SELECT path FROM {_O} WHERE starts_with(path, 'orders/f/')", ("orders", "customers"), "orders/f/")
 pages("source_glob_star", f"SELECT path FROM {_ALL} WHERE regexp_matches(path, '^parts/[^/]*7\\.md$')", _FOUR, "parts/*7.md")
 pages("source_glob_globstar", f"SELECT path FROM {_ALL} WHERE regexp_matches(path, '^(?s:.*)/[^/]*-1(?s:.*)$')", _FOUR, "**/*-1**")
@@ -403,7 +403,17 @@ def _text(spark, text: str) -> DataFrame:
     return spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n")[:-1])], "line int, text string")
 
 
-@query("render_table")
+# a double as a note's text shows it
+_SHOWN = "regexp_replace(CAST(total AS VARCHAR), '\\.0$', '')"
+
+
+@query("render_table", f"""
+    WITH r AS (SELECT name, {_SHOWN} AS total, placed, row_number() OVER (ORDER BY o.total DESC, {_BY_PATH}) AS i FROM (SELECT * FROM {_O} WHERE o_orderstatus = 'F') o),
+    c AS (SELECT 0 AS i, 'Name' AS a, 'Total' AS b, 'Placed' AS c UNION ALL SELECT i, name, total, placed FROM r WHERE i <= 10),
+    w AS (SELECT CAST(max(length(a)) AS INTEGER) AS wa, CAST(max(length(b)) AS INTEGER) AS wb, CAST(max(length(c)) AS INTEGER) AS wc FROM c)
+    SELECT CAST(CASE WHEN i = 0 THEN 0 ELSE i + 1 END AS INTEGER) AS line, '| ' || rpad(a, wa, ' ') || ' | ' || rpad(b, wb, ' ') || ' | ' || rpad(c, wc, ' ') || ' |' AS text FROM c, w
+    UNION ALL SELECT 1, '|' || repeat('-', wa + 2) || '|' || repeat('-', wb + 2) || '|' || repeat('-', wc + 2) || '|' FROM w
+""")
 def render_table(spark, sf_dir):
     rows = vault(spark, sf_dir, "orders").pages("orders/f/").sort("total", True).limit(10)
     return _text(spark, rows.table(["Name", "Total", "Placed"], ["file.name", "total", "placed"]))
@@ -414,6 +424,185 @@ def render_list(spark, sf_dir):
     return _text(spark, vault(spark, sf_dir, "customers").pages().sort("balance", True).limit(20).list("file.name"))
 
 
-@query("render_task_list")
+@query("render_task_list", f"""
+    SELECT CAST(row_number() OVER (ORDER BY {_BY_PATH}, l_linenumber, l_partkey, l_suppkey, said) - 1 AS INTEGER) AS line, said AS text
+    FROM (SELECT *, CASE WHEN completed THEN '- [x] ' ELSE '- [ ] ' END || text AS said FROM {_T} WHERE o_orderstatus = 'F')
+""")
 def render_task_list(spark, sf_dir):
     return _text(spark, vault(spark, sf_dir, "orders").tasks("orders/f/").task_list())
+
+
+@query("render_kinds", f"""
+    SELECT CAST(row_number() OVER (ORDER BY {_BY_PATH}) - 1 AS INTEGER) AS line,
+           '- ' || CASE p_partkey % 3 WHEN 0 THEN p_size || ', ' || (p_size + 1) WHEN 1 THEN '' ELSE CAST(p_size AS VARCHAR) END AS text FROM {_P}
+""")
+def render_kinds(spark, sf_dir):
+    """Lists, empty lists and numbers as texts."""
+    return _text(spark, vault(spark, sf_dir, "parts").pages().list("sizes"))
+
+
+@query("position_get", f"SELECT path, empty, beyond FROM (SELECT path, false AS empty, true AS beyond, row_number() OVER (ORDER BY balance, {_BY_PATH}) AS i FROM {_C}) WHERE i IN (1, 8)")
+def position_get(spark, sf_dir):
+    """Rows by their place from 0, and what is out of range."""
+    rows = vault(spark, sf_dir, "customers").pages().sort("balance")
+    beyond = rows.get(-1) is None and rows.get(rows.count()) is None
+    return spark.createDataFrame([(rows.get(i)["path"], rows.is_empty(), beyond) for i in (0, 7)], "path string, empty boolean, beyond boolean")
+
+
+# ---- links in each of the ways that they resolve
+
+_FROM = "'from/' || (c_custkey % 7) || '/deep/link-' || c_custkey || '.md'"
+
+
+@query("links_tiers", f"""
+    SELECT source, CASE c_custkey % 6 WHEN 3 THEN 'from/near/stem-' || c_custkey || '.md' ELSE path END AS target
+    FROM (SELECT *, {_FROM} AS source FROM {_C}) WHERE c_custkey % 6 <= 3
+    UNION ALL SELECT 'x/' || source, 'x/' || source FROM (SELECT {_FROM} AS source, c_custkey FROM customer) WHERE c_custkey % 6 = 5
+""")
+def links_tiers(spark, sf_dir):
+    """By a path, by a path without `.md`, by a stem, by the nearer of two notes of a stem; ties, `../` and other files don't resolve; links to oneself do."""
+    from notelake.operators.links import edges
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 6
+    bare = F.concat(F.lit("customers/"), F.lower("c_mktsegment"), F.lit("/customer-"), k)
+    source = F.concat(F.lit("from/"), (F.col("c_custkey") % 7).cast("string"), F.lit("/deep/link-"), k, F.lit(".md"))
+    stem = F.concat(F.lit("stem-"), k)
+    wanted = F.when(kind == 0, F.concat(bare, F.lit(".md#part"))).when(kind == 1, bare).when(kind == 2, F.concat(F.lit("customer-"), k)).when(kind == 3, stem).when(kind == 4, F.concat(F.lit("tie-"), k)).otherwise(F.concat(F.lit("../customer-"), k))
+    link = lambda t: F.array(F.struct(t.alias("target"), t.alias("text"), F.lit("wikilink").alias("kind"), F.lit(False).alias("embedded")))
+    note = lambda path, t=None: c.select(path.alias("path"), (F.array().cast("array<struct<target:string,text:string,kind:string,embedded:boolean>>") if t is None else link(t)).alias("outlinks"))
+    one, md = lambda folder, name: F.concat(F.lit(folder), name, F.lit(".md")), F.lit(".md")
+    notes = note(F.concat(bare, md)).unionByName(note(source, wanted)).unionByName(note(one("from/near/", stem))).unionByName(note(one("a/b/c/", stem)))
+    notes = notes.unionByName(note(one("tie/", F.concat(F.lit("tie-"), k)))).unionByName(note(one("eit/", F.concat(F.lit("tie-"), k))))
+    own = c.filter(kind == 5).select(F.concat(F.lit("x/"), source).alias("path"), link(F.concat(F.lit("x/"), source)).alias("outlinks"))
+    return edges(notes.unionByName(own))
+
+
+# ---- what the parser reads: fields in brackets, task dates, code, kinds of lists and links
+
+
+def _written(spark, sf_dir):
+    """A vault of notes that use the syntax that the other derived notes don't."""
+    from notelake.sources.vault import Vault
+
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit("Sold [Due Date:: 2024-01-02] and (mood:: good (really)) #seen [bad\nWeight:: "), size, F.lit(" kg\nOdd:: 1.50, true, \"a, b\"\n\n- [ ] open "), k, F.lit(" 🗓️ 2024-05-01 ➕2024-04-01 [prio:: "), size,
+        F.lit("]\n  - [x] inner `[no:: 1] #no` ✅ 2024-05-02\n- plain [[part-"), k, F.lit("|Me]] ![[pic.png]] [web](https://x.y/z)\n\n```\n#code Fake:: 1\n```\n\n    #code [[none]] Fake:: 2\n\nend `Fake:: 3` #x/y-"), k, F.lit(", #1 a#b\n"),
+    )
+    files = p.select(F.concat(F.lit("w/part-"), k, F.lit(".md")).alias("path"), text.alias("content"), F.lit(None).cast("timestamp").alias("created_at"), F.lit("1995-01-01 00:00:00").cast("timestamp").alias("modified_at"))
+    return Vault.of_contents(files.withColumn("size", F.octet_length("content").cast("long")))
+
+
+_W = "(SELECT 'w/part-' || p_partkey || '.md' AS path, p_partkey AS k, p_size AS size FROM part)"
+
+
+@query("inline_forms", f"SELECT path, '2024-01-02' AS due, 'date' AS due_kind, 'good (really)' AS mood, size || ' kg' AS weight, 'string' AS weight_kind, CAST(size AS DOUBLE) AS prio, CAST(NULL AS VARCHAR) AS fake, 'list' AS odd_kind, ['number', 'bool', 'string'] AS odd FROM {_W}")
+def inline_forms(spark, sf_dir):
+    rows = _written(spark, sf_dir).pages()
+    c = rows.column
+    return rows.values("mood").select("path", c("due date")["s"].alias("due"), c("due-date")["kind"].alias("due_kind"), c("mood")["s"].alias("mood"), c("weight")["s"].alias("weight"), c("weight")["kind"].alias("weight_kind"), c("prio")["n"].alias("prio"), c("fake")["s"].alias("fake"), c("odd")["kind"].alias("odd_kind"), F.transform(c("odd")["items"], lambda x: x["kind"]).alias("odd"))
+
+
+@query("task_dates", f"SELECT path, '2024-05-01' AS due, '2024-04-01' AS created, '2024-05-02' AS done FROM {_W}")
+def task_dates(spark, sf_dir):
+    rows = _written(spark, sf_dir).pages()
+    return rows.values("due").select("path", rows.column("due")["s"].alias("due"), rows.column("created")["s"].alias("created"), rows.column("completion")["s"].alias("done"))
+
+
+@query("code_excluded", f"SELECT path, ['#seen', '#x/y-' || k] AS tags FROM {_W}")
+def code_excluded(spark, sf_dir):
+    """Neither code nor glued or numeric look-alikes give tags."""
+    return _written(spark, sf_dir).pages().where("fake == null").select(path="file.path", tags="tags")
+
+
+@query("tasks_nested", f"SELECT path, 0 AS place, false AS completed, 'open ' || k || ' 🗓️ 2024-05-01 ➕2024-04-01 [prio:: ' || size || ']' AS text FROM {_W} UNION ALL SELECT path, 1, true, 'inner [no:: 1] #no ✅ 2024-05-02' FROM {_W}")
+def tasks_nested(spark, sf_dir):
+    return _written(spark, sf_dir).tasks().select(path="file.path", completed="task.completed", text="task.text").withColumn("place", F.when(F.col("completed"), 1).otherwise(0))
+
+
+@query("outlink_kinds", f"SELECT path, ['part-' || k, 'https://x.y/z'] AS targets, ['Me', 'web'] AS texts, ['wikilink', 'markdown'] AS kinds FROM {_W}")
+def outlink_kinds(spark, sf_dir):
+    """Embeds and what is in code aren't links."""
+    each = lambda n: F.transform("outlinks", lambda o: o[n])
+    return _written(spark, sf_dir).notes.select("path", each("target").alias("targets"), each("text").alias("texts"), each("kind").alias("kinds"))
+
+
+# ---- classes
+
+
+@query("schema_fields", """
+    SELECT * FROM (VALUES
+        ('Record', 'note', 'input', ''), ('Record', 'amount', 'number', 'min'), ('Deal', 'note', 'input', ''), ('Deal', 'amount', 'number', 'min'), ('Deal', 'total', 'number', 'max,min'),
+        ('Order', 'note', 'input', ''), ('Order', 'total', 'number', 'max,min'), ('Order', 'placed', 'date', 'format'), ('Order', 'customer', 'file', 'class'), ('Party', 'note', 'input', ''), ('Party', 'amount', 'input', ''),
+        ('Customer', 'note', 'input', ''), ('Customer', 'amount', 'input', ''), ('Customer', 'segment', 'select', 'values'), ('Customer', 'notes', 'file', 'ext,folders'), ('Part', 'sizes', 'number', ''), ('global', 'placed', 'date', 'format')
+    ) AS t(class, field, type, options)""")
+def schema_fields(spark, sf_dir):
+    """The fields of each class that could be built: own ones over those of parents, references followed, exclusions gone."""
+    from notelake.testing.vault_from_tables import registry
+
+    rows = [(n, f.name, f.type, ",".join(sorted(f.options))) for n, c in registry().classes.items() for f in c.fields.values()]
+    return spark.createDataFrame(rows, "class string, field string, type string, options string")
+
+
+@query("schema_hierarchy", """
+    SELECT * FROM (VALUES ('Record', 'Customer,Deal,Party', 'Customer,Deal,Order,Party', ''), ('Deal', 'Order', 'Order', ''), ('Order', '', '', ''), ('Party', 'Customer', 'Customer', ''), ('Customer', '', '', ''), ('Part', '', '', ''), ('global', '', '', ''), ('Broken', '', '', 'failed'))
+    AS t(class, children, descendants, state)""")
+def schema_hierarchy(spark, sf_dir):
+    from notelake.testing.vault_from_tables import registry
+
+    r = registry()
+    said = lambda names: ",".join(sorted(names))
+    rows = [(n, said(r.children(n)), said(r.descendants(n)), "") for n in r.classes] + [(n, "", "", "failed") for n in r.failed]
+    return spark.createDataFrame(rows, "class string, children string, descendants string, state string")
+
+
+@query("source_file_field", f"SELECT path FROM {_C} UNION ALL SELECT path FROM {_O}")
+def source_file_field(spark, sf_dir):
+    """What file fields of classes may point to, as sources: of a class, and of folders with an extension."""
+    from notelake.testing.vault_from_tables import registry
+
+    v, r = vault(spark, sf_dir, *_FOUR), registry()
+    return paths(v.pages(r.get("Order").field("customer").source())).unionByName(paths(v.pages(r.get("Customer").field("notes").source())))
+
+
+@query("source_depth_changed", f"SELECT path, 1 AS depth FROM {_O} UNION ALL SELECT path, 2 FROM {_O} UNION ALL SELECT path, 2 FROM {_C}")
+def source_depth_changed(spark, sf_dir):
+    """The depth of a source's classes set afterwards; classes that aren't known match themselves alone."""
+    from notelake.plans.source import parse_source, with_depth
+
+    v = vault(spark, sf_dir, "orders", "customers")
+    near, far = with_depth(parse_source("@Deal or @Unheard"), "children"), with_depth(parse_source("@Record+"), "descendants")
+    return paths(v.pages(near)).withColumn("depth", F.lit(1)).unionByName(paths(v.pages(far)).withColumn("depth", F.lit(2)))
+
+
+# ---- a directory, its index, and what changed since
+
+
+@query("index_roundtrip", f"SELECT path, 'kept' AS state, balance FROM {_C} WHERE c_custkey % 10 <> 3 AND c_custkey % 10 <> 7 UNION ALL SELECT path, 'kept', -1.5 FROM {_C} WHERE c_custkey % 10 = 7 UNION ALL SELECT 'fresh/new.md', 'kept', 7 UNION ALL SELECT 'fresh/' || 'other.txt', 'kept', NULL")
+def index_roundtrip(spark, sf_dir):
+    """A directory is scanned, parsed, persisted and loaded; notes go, change and come, and a refresh reads these alone."""
+    import os
+    import tempfile
+
+    from notelake.sources import index
+
+    with tempfile.TemporaryDirectory(prefix="notelake-vault-") as root:
+        put = lambda path, text: (os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True), open(f"{root}/{path}", "w").write(text))  # noqa: E731, SIM115
+        own = vault(spark, sf_dir, "customers").contents.select("path", "content", F.regexp_extract("path", r"(\d+)\.md", 1).cast("long").alias("k")).collect()
+        for r in own:
+            put(r["path"], r["content"])
+        put(".git/config", "no")
+        first = index.build(spark, root)
+        index.persist(first, f"{root}/.notelake/index")
+        for r in own:
+            if r["k"] % 10 == 3:
+                os.unlink(f"{root}/{r['path']}")
+            elif r["k"] % 10 == 7:
+                put(r["path"], "---\nbalance: -1.5\n---\nanother size\n")
+        put("fresh/new.md", "balance:: 7\n")
+        put("fresh/other.txt", "balance:: 8\n")
+        rows = index.refresh(spark, root, index.load(spark, f"{root}/.notelake/index")).pages()
+        got = rows.values("balance").select("path", F.lit("kept").alias("state"), rows.column("balance")["n"].alias("balance")).collect()
+    return spark.createDataFrame(got, "path string, state string, balance double")

@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.schema.registry import Registry
 from notelake.sources.vault import Vault
 
 #: The classes of the derived notes: an order is a kind of deal, a deal and a party are records.
-CLASSES = {"Record": (), "Deal": ("Record",), "Order": ("Deal",), "Party": ("Record",), "Customer": ("Party",), "Part": ()}
-
-
-class Registry:
-    """Class expansion over CLASSES, as the schema registry does it."""
-
-    def __init__(self, parents: dict[str, tuple[str, ...]] = CLASSES):
-        self.parents = parents
+CLASSES = {
+    "global": {"fields": {"placed": {"type": "date", "format": "%Y-%m-%d", "required": True}}},
+    "Record": {"fields": {"note": {"type": "input"}, "amount": {"type": "number", "min": 0}}},
+    "Deal": {"extends": ["Record"], "fields": {"total": {"$ref": "#Record/amount", "max": 1000000}}},
+    "Order": {"extends": ["Deal"], "excludes": ["amount"], "fields": {"placed": {"$ref": "#global/placed"}, "customer": {"type": "file", "class": "Customer"}}},
+    "Party": {"extends": ["Record"], "fields": {"amount": {"type": "input"}}},
+    "Customer": {"extends": ["Party", "Record", "Nobody"], "fields": {"segment": {"type": "select", "values": ["BUILDING", "MACHINERY"]}, "notes": {"type": "file", "folders": ["orders/"], "ext": ["md"]}}},
+    "Part": {"fields": {"sizes": {"type": "number", "multi": True}}},
+    "Broken": {"extends": ["Part"], "fields": {"wrong": {"type": "boolean", "values": ["x"]}}},
+}
 
-    def __contains__(self, name: str) -> bool:
-        return name in self.parents
 
-    def expand(self, name: str, depth: str) -> frozenset[str]:
-        below = {c for c, ps in self.parents.items() if name in ps}
-        if depth == "descendants":
-            for c in tuple(below):
-                below |= self.expand(c, depth)
-        return frozenset(below)
+@functools.cache
+def registry() -> Registry:
+    return Registry(CLASSES)
 
 
 def _lines(*parts: Column | str) -> Column:
@@ -84,4 +84,4 @@ def vault(spark: SparkSession, sf_dir: str, *kinds: str, tasks: bool = True) ->
         one = orders(spark, sf_dir, tasks) if k == "orders" else KINDS[k](spark, sf_dir)
         files = one if files is None else files.unionByName(one)
     files = files.withColumn("size", F.octet_length(F.coalesce("content", F.lit(""))).cast("long"))
-    return Vault.of_contents(files, registry=Registry())
+    return Vault.of_contents(files, registry=registry())
