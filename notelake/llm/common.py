@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[object, object]] = []
@@ -25,12 +25,14 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one, which only a local master can share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="notelake-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -42,22 +44,55 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     path = f"{scratch_root(spark)}/notelake/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._notelake_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(table_: DataFrame) -> None:
+    """Remove one table that ``written`` made, once nothing reads it any more."""
+    path = getattr(table_, "_notelake_path", None)
+    if path:
+        _made.remove((table_.sparkSession, path))
+        _delete(table_.sparkSession, path)
 
 
 def clear_scratch() -> None:
     """Remove the tables that ``written`` made; results that still read them become unreadable."""
     while _made:
-        spark, path = _made.pop()
-        with contextlib.suppress(Exception):
-            jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+        _delete(*_made.pop())
 
 
 atexit.register(clear_scratch)
 
 
+#: A key is hot if it has at least this share of the rows: there are at most so many of them.
+HOT_KEYS = 1000
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, sizes: DataFrame, spread_by: Column) -> DataFrame:
+    """rows left-joined with found, which has a key once, so that no task gets all rows of a hot key.
+
+    sizes (key, n) says how many rows have each key. Hot keys (at most HOT_KEYS, so that their table is small enough to send to every
+    task) are split by the hash of spread_by into parts of about a HOT_KEYS-th of all rows, and found's row is repeated for each part.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    part = max(1, total // HOT_KEYS)
+    hot = F.broadcast(sizes.filter((F.col("n") > part) & F.col(key).isNotNull()).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / part).cast("int").alias("__parts")))
+    split = rows.join(hot, F.col(key) == F.col("__hot"), "left")
+    split = split.withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread_by), F.col("__parts")))).drop("__hot", "__parts")
+    every = found.join(hot, F.col(key) == F.col("__hot"), "left")
+    every = every.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("__parts", F.lit(1)) - 1).cast("long")))).drop("__hot", "__parts")
+    return split.withColumn("__part", F.col("__part").cast("long")).join(every, [key, "__part"], "left").drop("__part")
+
+
 def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each string; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

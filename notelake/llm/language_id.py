@@ -5,8 +5,11 @@ A document's own profile is compared with each language's by the out-of-place di
 differences, with the profile's length for an n-gram that the language lacks. The nearest language wins.
 
 Profiles are learned from a bounded sample of labelled documents, the same at every size: in each
-language the documents with the smallest hashes of their id, about SAMPLE_DOCS of them, with at most
-SAMPLE_CHARS letters of each. A prediction reads the whole text.
+language the documents with the smallest hashes of their id, about SAMPLE_DOCS of them, whole. A prediction reads the
+whole text.
+
+A text is accepted as one in a learned language if it is about as near to a profile as labelled documents are that the profiles
+weren't made from: no further than NEAR of the score that all but FAR of these reach.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, bytes_of, id_and_text
 
 PROFILE = 400
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
+#: Documents of a language that profiles, and as many others that the least score of an accepted text, are learned from.
+SAMPLE_DOCS = 1500
+#: Share of labelled documents that may be as far from the profiles as they like, and of the score that all others reach.
+FAR, NEAR = 0.001, 0.85
 UNDETERMINED = "und"
 #: Long texts are counted in slices of so many characters.
 SLICE = 1 << 18
@@ -114,16 +120,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, profile: int = PROFILE, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Profiles:
-    """Profiles from the text and lang of labelled documents that aren't held out."""
+def _sample(docs: DataFrame, sample_docs: int, turn: int = 0) -> DataFrame:
+    """lang and text of about sample_docs labelled documents of each language that aren't held out; each turn others, while there are any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Profiles({}, profile)
+        return rows.select("lang", "text")
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])[F.col("lang")]
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003
-    sample = rows.filter((place < share) & F.col("text").isNotNull()).select("lang", F.substring("text", 1, sample_chars).alias("text"))
+    first = F.least(share * turn, 1 - share)
+    return rows.filter((place >= first) & (place < first + share) & F.col("text").isNotNull()).select("lang", "text")
+
+
+def learn(docs: DataFrame, profile: int = PROFILE, sample_docs: int = SAMPLE_DOCS) -> Profiles:
+    """Profiles from the text and lang of labelled documents that aren't held out."""
+    sample = _sample(docs, sample_docs)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, dict[int, int]] = {}
@@ -165,15 +177,32 @@ def identify(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
-    """The rows of docs in a learned language; those that are `und`, or share no n-gram with a profile, go."""
+def least_score(docs: DataFrame, profiles: Profiles, sample_docs: int = SAMPLE_DOCS) -> float:
+    """The least score of an accepted text; 0 where there are no labelled documents."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            got = [profiles.predict(t.decode("utf-8", "replace")) for t in bytes_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([s for name, s in got if name != UNDETERMINED], pa.float64())], names=["score"])
+
+    found = _sample(docs, sample_docs, turn=1).mapInArrow(run, "score double").approxQuantile("score", [FAR], 0.0)
+    return NEAR * found[0] if found else 0.0
+
+
+def accepted(docs: DataFrame, profiles: Profiles | None = None, least: float | None = None) -> DataFrame:
+    """The rows of docs in a learned language: those that are `und`, or further than `least` from every profile, go.
+
+    Without labelled documents only texts that share no n-gram with a profile are too far. Null texts, empty ones and those without
+    a letter go; repeated rows stay or go together; an empty table gives none. Other columns stay as they are.
+    """
     known = profiles or learn(docs)
+    least = least_score(docs, known) if least is None and "lang" in docs.columns else least or 0.0
     names = docs.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             texts = bytes_of(batch.column(names.index("text")))
             got = [known.predict(t.decode("utf-8", "replace")) for t in texts]
-            yield batch.filter(pa.array([name != UNDETERMINED and score > 0 for name, score in got], pa.bool_()))
+            yield batch.filter(pa.array([name != UNDETERMINED and score > 0 and score >= least for name, score in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
