@@ -289,19 +289,22 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated rows; of the others, every hit span is cut out of the text.
 
-    n_chars, where there is one, is the new text's length.
+    n_chars, where there is one, is the new text's length. Other columns of any name stay as they are. Null texts stay null;
+    repeated rows go or stay together; an empty table stays empty.
     """
-    found = overlap(docs, benchmark, window).filter(~contaminated())
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0)).alias("row"), F.col("text").cast("string").alias("text"))
+    found = overlap(rows, benchmark, window).filter(~contaminated())
     # text as bytes: spans are in bytes, and begin and end at whole characters
-    kept = F.aggregate(
-        "hit_spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("string").cast("binary").alias("out")),
-        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col("text").cast("binary"), (a["at"] + 1).cast("int"), (s["begin"] - a["at"]).cast("int"))).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(F.col("text").cast("binary"), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))).cast("string"),
-    )
-    text = F.when(F.size("hit_spans") > 0, kept).otherwise(F.col("text"))
-    out = found.withColumn("__text", text)
-    cols = {"text": F.col("__text")}
+    raw = F.encode("text", "UTF-8")
+    part = lambda begin, end: F.decode(F.substring(raw, (begin + 1).cast("int"), (end - begin).cast("int")), "UTF-8")
+    after = F.slice("hit_spans", 2, F.size("hit_spans"))
+    kept = F.concat(
+        part(F.lit(0), F.get("hit_spans", 0)["begin"]), F.array_join(F.zip_with(F.slice("hit_spans", F.lit(1), F.size(after)), after, lambda s, t: part(s["end"], t["begin"])), ""),
+        part(F.element_at("hit_spans", -1)["end"], F.octet_length(raw).cast("long")),
+    )
+    found = found.select("row", "text", F.when(F.size("hit_spans") > 0, kept).alias("clean"))
+    col = {c: F.col("row")[f"c{i}"] for i, c in enumerate(rest)} | {"text": F.coalesce("clean", "text")}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.size("hit_spans") > 0, F.char_length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[cols.get(c, F.col(c)).alias(c) for c in docs.columns])
+        col["n_chars"] = F.when(F.col("clean").isNotNull(), F.char_length("clean")).otherwise(col["n_chars"])
+    return found.select(*[col[f.name].cast(f.dataType).alias(f.name) for f in docs.schema])
