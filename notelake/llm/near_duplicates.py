@@ -1,16 +1,21 @@
 """MinHash near-duplicates by fast similarity sketching, banding and exact verification.
 
-A document is its set of distinct shingles of five words. Its sketch has `bins` coordinates: in round i
+A document is its set of distinct shingles of five words, each as a 64-bit hash. Its sketch has `bins` coordinates: in round i
 each shingle falls into one bin by hashing and offers the value (i, hash); a bin keeps its smallest. All
 bins fill after about bins * ln(bins) placements; from round `bins` on every shingle is offered
 to the bin of the round's number, so that each coordinate fills for certain. Coordinates of two sets agree with
 the chance of their Jaccard similarity J, with Chernoff-like concentration.
 
 `bands` groups of `rows` coordinates are the buckets. A pair of J >= 0.85 shares none of the 32 buckets of 6
-with a chance below 3e-7. Documents with equal sets are one class, and only its smallest
-id takes part. Buckets with the same members are verified once. A bucket is verified in blocks of bounded
-size on the full sets by counting common shingles; a block returns a spanning forest of its
-components and no pairs. Components of the whole table are found without collecting anything.
+with a chance below 3e-7. Documents with equal sets are one class, and only its smallest id takes part. Buckets with the
+same members are verified once, on the full sets, by counting common shingles. A block of a bucket, of
+bounded size, returns a spanning forest of its components and no pairs.
+
+First pass: the buckets of the first bands, a large bucket in blocks that all hold the same few members, its hubs. Work is in
+proportion to the members, and near copies end up in one component. Second pass, over all bands: only buckets whose members aren't all in one
+component, and of a large one only pairs of blocks that hold different components: members known to be connected
+needn't be compared. So every two members of a bucket are compared, or are in one component already.
+Components of the whole table are found without collecting anything.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, id_and_text, written
+from .common import bytes_of, id_and_text, spread_join, written
 from .components import connected_components
 from .hashing import SPACE, mix, segments, span_hashes, word_spans
 
@@ -35,6 +40,8 @@ FIRST_BANDS = 8
 PERCENT = 85
 #: A block of a bucket holds about so many documents and so many shingles at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 192, 1_500_000
+#: Members of a large bucket that each of its blocks holds in the first pass.
+HUBS = 4
 _SLICE = 1 << 20
 _SEEDS = mix(np.arange(1, 4096, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _LOW = np.uint64(0xFFFFFFFF)
@@ -169,15 +176,8 @@ def forest(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
         label = low
 
 
-def _verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that join, bucket by bucket, what is linked by exact similarity."""
-    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")
-    # every two blocks of a bucket meet; a bucket of one block meets itself
-    pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != own), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    )
-    dealt = members.select("key", "id", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "id")
-    rows = dealt.join(sets.withColumnRenamed("doc_id", "id"), "id")
+def _blocks_verified(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join, block by block of rows (block, id), what is linked by exact similarity."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(block: pa.Table) -> pa.Table:
@@ -190,29 +190,61 @@ def _verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         joined = np.flatnonzero(top != np.arange(len(ids)))
         return pa.table([pa.array(ids[top[joined]]), pa.array(ids[joined])], schema=schema)
 
-    return rows.groupBy("key", "i", "j").applyInArrow(verify, "a long, b long")
+    return rows.join(sets.withColumnRenamed("doc_id", "id"), "id").groupBy("block").applyInArrow(verify, "a long, b long")
 
 
-def components(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, component) of the classes that are linked.
+def _first_pass(members: DataFrame) -> DataFrame:
+    """(block, id): small buckets whole, large ones in blocks by the hash of the id, each with the bucket's hubs."""
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts").cast("long"))
+    block = lambda part: F.struct("key", part.cast("long").alias("part")).alias("block")
+    slot = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(HUBS)).alias("slot")
+    hubs = members.filter("parts > 1").groupBy("key", "parts", slot).agg(F.min_by("id", F.xxhash64("id")).alias("id"))
+    every = hubs.select("key", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return members.select(block(own), "id").unionByName(every.select(block(F.col("part")), "id")).distinct()
+
+
+def _second_pass(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(block, id): of buckets that aren't in one component of known (id, component), what has to be compared still.
 
-    The buckets of the first bands are verified first; of the others only those whose
-    documents aren't all in one component by then.
+    In a large bucket each component with half a block of members or more has blocks of its own, and the others share blocks. Two
+    blocks meet unless both are of the same component.
     """
+    at = members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+    at = written(at.join(open_, "key", "left_semi"), "open")
+    # a small bucket of the first bands has been compared as a whole
+    small = at.filter("parts = 1 and not early").select(F.struct("key", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("other")).alias("block"), "id")
+    large = at.filter("parts > 1")
+    sizes = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles"))
+    groups = sizes.withColumn("own", (F.col("n") >= BLOCK_DOCS / 2) | (F.col("shingles") >= BLOCK_SHINGLES / 2))
+    # components of one group: the hash of a large component (0 stands for those that share blocks)
+    named = groups.select("key", "component", "own", "n", "shingles", F.when(F.col("own"), F.xxhash64("component")).otherwise(F.lit(0)).alias("group"))
+    parts = named.groupBy("key", "group").agg(F.max("own").alias("own"), F.greatest(F.ceil(F.sum("n") / BLOCK_DOCS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("long").alias("of"))
+    placed = large.join(named.select("key", "component", "group"), ["key", "component"]).join(parts, ["key", "group"])
+    placed = placed.select("key", "id", F.struct("group", F.pmod(F.xxhash64("id", F.lit(7)), F.col("of")).alias("part")).alias("chunk"))
+    chunks = parts.select("key", "own", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("of") - 1), lambda p: F.struct(F.col("group").alias("group"), p.alias("part")))).alias("chunk"))
+    one, two = chunks.select("key", F.col("chunk").alias("x"), F.col("own").alias("own")), chunks.select("key", F.col("chunk").alias("y"))
+    # blocks of a component's own don't meet each other; shared ones do, and each is compared within itself
+    meet = one.join(two, "key").filter((F.col("x") < F.col("y")) & ~(F.col("own") & (F.col("x.group") == F.col("y.group"))) | ((F.col("x") == F.col("y")) & ~F.col("own")))
+    pairs = meet.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("chunk"))
+    block = F.struct("key", F.xxhash64("x", "y").alias("part"), F.xxhash64("y", "x").alias("other")).alias("block")
+    return small.unionByName(placed.join(pairs, ["key", "chunk"]).select(block, "id"))
+
+
+def components(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component) of the classes that are linked, by the two passes."""
     entries = reps.select(F.col("id"), F.col("n"), F.posexplode("keys").alias("band", "key"))
     mark = F.xxhash64("id")
     buckets = entries.groupBy("key").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 8)).alias("y")).filter("docs > 1")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    parts = F.when((F.col("docs") <= BLOCK_DOCS) & (F.col("shingles") <= BLOCK_SHINGLES), 1).otherwise(F.greatest(F.ceil(F.col("docs") / max(1, BLOCK_DOCS - HUBS)), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int")
     once = buckets.groupBy("docs", "shingles", "x", "y").agg(F.min(F.struct("band", "key")).alias("first")).select("first.key", (F.col("first.band") < FIRST_BANDS).alias("early"), parts.alias("parts"))
-    members = written(entries.select("key", "id").join(once, "key"), "members")
+    members = written(entries.select("key", "id", "n").join(once, "key"), "members")
     # as many as there are near duplicates: never a side to broadcast
     wanted = members.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash")
     sets = written(full_sets(id_and_text(docs).join(wanted, "doc_id", "left_semi"), words), "sets")
-    early = connected_components(_verified(members.filter("early"), sets, percent))
-    late = members.filter("not early").join(early, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = late.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    more = _verified(late.join(open_, "key", "left_semi").select("key", "id", "parts"), sets, percent)
-    return connected_components(early.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
+    first = connected_components(_blocks_verified(_first_pass(members.filter("early").select("key", "id", "parts")), sets, percent))
+    more = _blocks_verified(_second_pass(members, first), sets, percent)
+    return connected_components(first.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -225,9 +257,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     made = written(sketches(docs, words, bands, rows), "sketches")
     some = made.filter("n > 0 and doc_id is not null")
-    reps = written(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    reps = written(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), "classes")
     found = components(docs, reps, words, percent)
-    classes = reps.select("set_a", "set_b", "id").join(found, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component"))
-    out = made.select("doc_id", "n", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    key = F.struct("set_a", "set_b").alias("class")
+    classes = written(reps.join(found, "id", "left").select(key, F.coalesce("component", "id").alias("component"), F.col("copies").alias("n")), "classes")
+    # a class of many copies is split; documents without an id or without words have no class to look for
+    out = spread_join(made.filter("n > 0 and doc_id is not null").select("doc_id", F.col("n").alias("n_shingles"), key), classes.select("class", "component"), "class", classes.select("class", "n"), F.col("doc_id"))
+    out = out.select("doc_id", "n_shingles", "component").unionByName(made.filter("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component")))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
