@@ -1,14 +1,16 @@
-"""Exact top-k search by inner product: blocks sorted by norm, rotated partial sums, residual bounds.
+"""Exact top-k search by inner product: runs sorted by norm, rotated partial sums, residual bounds.
 
 Vectors are integers. One pass sums their outer products; its eigenvectors (the right singular vectors
-of the table) rotate the coordinates so that the first few hold most of the length. Vectors
-are range-partitioned by descending norm and cut into blocks; a first round against the longest ones
-gives every query a score that its k best reach at least. A query meets a block of smaller norms only
-where norm times norm can reach that score, and inside the block a vector only where the partial sum over the
-first rotated coordinates plus the product of the residual lengths (Cauchy-Schwarz) can. What is
-left is scored exactly in integers.
-
-The query set is stated, so query blocks meet vector blocks; both are of bounded size.
+of the table) rotate the coordinates so that the first few hold most of the length. Vectors are range-partitioned by descending norm
+and cut into runs, which keep the first rotated coordinates of each vector and the length of the rest beside it.
+
+Blocks of queries go through the runs in tiers, each GROWTH times as many runs as the one before, of smaller norms. Each query
+holds the score that its k best so far reach. A block of queries that no product of norms can improve any more drops out;
+within a run, read block by block, a vector is looked at only where the partial sum plus the product of the residual
+lengths (Cauchy-Schwarz) can reach that score, which rises from block to block and from tier to tier. What is
+left is scored exactly in integers. A run returns a query's k best at most.
+
+The query set is stated, so query blocks meet runs; both are of bounded size.
 """
 
 from __future__ import annotations
@@ -20,28 +22,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
-from .common import written
+from .common import discard, written
 
 TOP, SCALE = 20, 64
-BLOCK, QUERY_BLOCK, SEED_BLOCK = 2048, 512, 2048
+#: Vectors of a run, blocks that it is read in, queries of a block; runs of a tier for one of the tier before.
+RUN, RUN_BLOCKS, QUERY_BLOCK, GROWTH = 16_384, 8, 256, 8
 #: Share of the length that the first rotated coordinates hold.
 HEAD = 0.7
 #: For the rounding of the bounds, which are floating-point.
 SLACK = 1e-6
 _INT_LIMIT = 2**62
+_FLOOR = -(2**63)
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and v, the floors of scale times each component, without rows that hold no finite vector.
 
-    A component beyond the range of a long is cut to it.
+    A component that leaves the range of a long is an error: no score of it could be exact.
     """
     x = F.transform("embedding", lambda c: c.cast("double"))
     whole = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"), whole.alias("whole")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.col("whole"))
-    big = float(2**62)
-    return rows.select("vec_id", F.transform("x", lambda c: F.floor(F.least(F.greatest(c * scale, F.lit(-big)), F.lit(big)))).alias("v"))
+    held = lambda c: F.when(F.abs(c * scale) < float(_INT_LIMIT), F.floor(c * scale)).otherwise(F.raise_error(F.lit("a component is too large for an integer score")).cast("long"))
+    return rows.select("vec_id", F.transform("x", held).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -79,55 +84,90 @@ def rotation(vectors: DataFrame, width: int) -> tuple[np.ndarray, int]:
     return v[:, order], min(head, width)
 
 
-def blocks(vectors: DataFrame, width: int, size: int, parts: int) -> DataFrame:
-    """Blocks of at most `size` vectors by descending norm: block, norm (the longest), n, ids and data."""
+def _packed(m: np.ndarray) -> tuple[int, bytes]:
+    """Integers in the smallest width that holds them, and that width."""
+    most = int(np.abs(m).max(initial=0))
+    width = 2 if most < 2**15 else 4 if most < 2**31 else 8
+    return width, m.astype(f"<i{width}").tobytes()
+
+
+def _unpacked(data: bytes, width: int, columns: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{width}").reshape(-1, columns).astype(np.int64)
+
+
+_RUN_DDL = "norm double, n int, ids binary, width int, data binary, head binary, rest binary"
+
+
+def runs(vectors: DataFrame, columns: int, size: int, parts: int, v: np.ndarray, head: int) -> DataFrame:
+    """Runs of at most `size` vectors by descending norm: number (from 0), norm (the longest), ids, data, and the rotated head and rest of each."""
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     rows = vectors.select("vec_id", "v", norm.alias("norm"), F.monotonically_increasing_id().alias("row")).repartitionByRange(parts, F.desc("norm"), F.col("vec_id"), F.col("row")).sortWithinPartitions(F.desc("norm"), "vec_id", "row")
-    schema = pa.schema([("norm", pa.float64()), ("n", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 b = batch.slice(at, size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([math.sqrt(b.column(2)[0].as_py())]), pa.array([b.num_rows], pa.int32()), pa.array([b.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([_matrix(b.column(1), width).tobytes()], pa.binary())],
-                    schema=schema,
-                )
+                m = _matrix(b.column(1), columns)
+                width, data = _packed(m)
+                turned = m @ v
+                row = (math.sqrt(b.column(2)[0].as_py()), b.num_rows, b.column(0).to_numpy().astype("<i8").tobytes(), width, data, turned[:, :head].astype("<f8").tobytes(), np.sqrt((turned[:, head:] ** 2).sum(axis=1)).astype("<f8").tobytes())
+                types = (pa.float64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["norm", "n", "ids", "width", "data", "head", "rest"])
 
-    return rows.select("vec_id", "v", "norm").mapInArrow(run, "norm double, n int, ids binary, data binary").withColumn("block", F.monotonically_increasing_id())
+    made = rows.select("vec_id", "v", "norm").mapInArrow(run, _RUN_DDL).withColumn("place", F.monotonically_increasing_id())
+    held = written(made, "runs")
+    # places follow the order by norm, with gaps between partitions; only they are sorted to be numbered
+    order = held.select(F.col("place").alias("p")).orderBy("p").select(InternalFunction.distributed_sequence_id().alias("number"), "p")
+    return held.join(order, F.col("place") == F.col("p")).drop("place", "p")
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products of rows; those that could leave 64 bits are computed in full and cut to a long."""
+    """Integer inner products of rows; one that leaves 64 bits is an error."""
     if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < _INT_LIMIT:
         return np.einsum("ij,ij->i", q, c)
     full = [sum(int(x) * int(y) for x, y in zip(a, b)) for a, b in zip(q, c)]
-    return np.array([max(-(2**63), min(2**63 - 1, s)) for s in full], dtype=np.int64)
-
-
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, c_ids: np.ndarray, c: np.ndarray, v: np.ndarray, head: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in q, id, score) of each query's `top` best of a block among scores of at least `least`."""
-    qr, cr = q @ v, c @ v
-    rest = lambda m: np.sqrt(np.maximum((m[:, head:] ** 2).sum(axis=1), 0))
-    scale = np.linalg.norm(qr, axis=1)[:, None] * np.linalg.norm(cr, axis=1)[None, :]
-    bound = qr[:, :head] @ cr[:, :head].T + rest(qr)[:, None] * rest(cr)[None, :] + SLACK * (scale + 1)
-    keep = (bound >= least[:, None]) & (q_ids[:, None] != c_ids[None, :])
-    a, b = np.nonzero(keep)
-    parts = [_exact(q[a[i : i + 262144]], c[b[i : i + 262144]]) for i in range(0, len(a), 262144)]
-    score = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    good = score >= least[a]
-    a, b, score = a[good], b[good], score[good]
-    order = np.lexsort((c_ids[b], -score.astype(object) if len(score) and score.min() == -(2**63) else -score, a))
-    a, b, score = a[order], b[order], score[order]
-    first = np.searchsorted(a, a, side="left")
-    best = np.arange(len(a)) - first < top
-    return a[best], c_ids[b[best]], score[best]
+    if any(not _FLOOR < s < 2**63 for s in full):
+        raise OverflowError("a score leaves the range of a long")
+    return np.array(full, dtype=np.int64)
 
 
-_FLOOR = -(2**63)
+class Queries:
+    """A block of queries, what each has found so far in a run, and the score that it has to reach."""
+
+    def __init__(self, ids, q, head, rest, least, top: int):
+        self.ids, self.q, self.head, self.rest, self.least, self.top = ids, q, head, rest, least.copy(), top
+        self.length = np.sqrt((head**2).sum(axis=1) + rest**2)
+        self.at, self.found, self.score = (np.zeros(0, np.int64) for _ in range(3))
 
+    def meet(self, ids, c, head, rest) -> None:
+        """Take what a block of vectors has to offer, and raise the scores to reach."""
+        scale = self.length.max(initial=0) * math.sqrt(float(((head**2).sum(axis=1) + rest**2).max(initial=0)))
+        bound = self.head @ head.T + self.rest[:, None] * rest[None, :] + SLACK * (scale + 1)
+        a, b = np.nonzero((bound >= self.least[:, None]) & (self.ids[:, None] != ids[None, :]))
+        parts = [_exact(self.q[a[i : i + 262144]], c[b[i : i + 262144]]) for i in range(0, len(a), 262144)]
+        score = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        good = score >= self.least[a]
+        at, found, score = np.r_[self.at, a[good]], np.r_[self.found, ids[b[good]]], np.r_[self.score, score[good]]
+        order = np.lexsort((found, -score, at))
+        at, found, score = at[order], found[order], score[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at, side="left")
+        kept = place < self.top
+        self.at, self.found, self.score = at[kept], found[kept], score[kept]
+        full = place[kept] == self.top - 1
+        self.least[self.at[full]] = np.maximum(self.least[self.at[full]], self.score[full])
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+
+def _stop(length: np.ndarray, least: np.ndarray) -> float:
+    """The norm below which no vector can reach the score of any of the queries."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        norm = (least.astype(np.float64) - 1) / (length * (1 + SLACK))
+    return float(np.where(length > 0, norm, np.where(least <= 1, -np.inf, np.inf)).min(initial=np.inf))
+
+
+_TOP_DDL = "q_block long, q int, query_id long, vec_id long, score long"
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = RUN, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score: each query's k highest inner products, ties to the smaller vec_id.
 
     vectors and queries hold (vec_id, v), as `integer_vectors` makes them. A query's own row isn't its
@@ -140,58 +180,72 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = BLO
     queries = written(queries.select("vec_id", "v"), "queries")
     stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     asked = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    ddl = "query_id long, vec_id long, score long"
     if not stats["n"] or not asked["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = max(1, stats["width"], asked["width"])
-    v, head = rotation(vectors, width)
-    held = written(blocks(vectors, width, block, max(1, math.ceil(stats["n"] / block))), "blocks")
-    wanted = written(blocks(queries, width, query_block, max(1, math.ceil(asked["n"] / query_block))), "blocks")
-
-    # the longest vectors, a block of bounded size, give each query a score to reach
-    seed = held.orderBy(F.desc("norm"), "block").limit(1).first()
-    seed_ids, seed_data = np.frombuffer(seed["ids"], np.int64), np.frombuffer(seed["data"], np.int64).reshape(-1, width)
-
-    def reach(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            names = batch.schema.names
-            least = []
-            for ids, data in zip(batch.column(names.index("ids")).to_pylist(), batch.column(names.index("data")).to_pylist()):
-                q_ids, q = np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, width)
-                out = np.full(len(q_ids), _FLOOR, dtype=np.int64)
-                a, _, s = best_of_block(q_ids, q, out, seed_ids, seed_data, v, head, k)
-                kth = np.flatnonzero(np.bincount(a, minlength=len(q_ids)) == k)
-                last = {x: t for x, t in zip(a.tolist(), s.tolist())}  # rows come best first
-                for i in kth:
-                    out[i] = last[int(i)]
-                least.append(out.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.binary())], names=[*names, "least"])
-
-    lows = written(wanted.withColumnsRenamed({"block": "q_block", "norm": "q_norm"}).mapInArrow(reach, "q_norm double, n int, ids binary, data binary, q_block long, least binary"), "queries")
-    # the block ids that a query block has to meet, by the norms alone: a product of norms bounds every score
-    ranges = held.select("block", F.col("norm").alias("c_norm"))
-
-    def met(parts: Iterator[pa.RecordBatch], norms: list[tuple[int, float]]) -> Iterator[pa.RecordBatch]:
+    columns = max(1, stats["width"], asked["width"])
+    v, head = rotation(vectors, columns)
+    held = written(runs(vectors, columns, block, max(1, math.ceil(stats["n"] / block)), v, head), "runs")
+    wanted = runs(queries, columns, query_block, max(1, math.ceil(asked["n"] / query_block)), v, head).withColumnRenamed("number", "q_block").drop("norm", "n")
+    n_runs = held.count()
+    each = Window.partitionBy("q_block", "q").orderBy(F.desc("score"), "vec_id")
+    state_ddl = "q_block long, ids binary, width int, data binary, head binary, rest binary, least binary, stop double"
+
+    def begin(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for ids, data, q_block, least in zip(*[batch.column(c).to_pylist() for c in ("ids", "data", "q_block", "least")]):
-                q = np.frombuffer(data, np.int64).reshape(-1, width).astype(np.float64)
-                low = np.frombuffer(least, np.int64).astype(np.float64)
-                length = np.linalg.norm(q, axis=1)
-                go = [b for b, n in norms if (length * n * (1 + SLACK) + 1 >= low).any()]
-                yield pa.RecordBatch.from_arrays([pa.array(go, pa.int64()), pa.array([q_block] * len(go), pa.int64())], names=["block", "q_block"])
-
-    norms = [(r["block"], r["c_norm"]) for r in ranges.toLocalIterator()]  # one number for each block
-    pairs = lows.mapInArrow(lambda parts: met(parts, norms), "block long, q_block long")
-    work = pairs.join(lows.select("q_block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "least"), "q_block").join(held.select("block", "ids", "data"), "block")
+            n = [len(x) // 8 for x in batch.column("ids").to_pylist()]
+            least = pa.array([np.full(m, _FLOOR, np.int64).tobytes() for m in n], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q_block", "ids", "width", "data", "head", "rest")), least, pa.array([-math.inf] * len(n))], names=["q_block", "ids", "width", "data", "head", "rest", "least", "stop"])
 
     def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for i in range(batch.num_rows):
-                q_ids, q, least, ids, data = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("q_ids", "q_data", "least", "ids", "data"))
-                a, c, s = best_of_block(q_ids, q.reshape(-1, width), least, ids, data.reshape(-1, width), v, head, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q_ids[a], c, s)], schema=schema)
-
-    found = work.select("q_ids", "q_data", "least", "ids", "data").mapInArrow(meet, ddl)
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                floats = lambda c, shape: np.frombuffer(r[c], "<f8").reshape(shape)  # noqa: B023, E731
+                ids = np.frombuffer(r["ids"], np.int64)
+                some = Queries(ids, _unpacked(r["data"], r["width"], columns), floats("head", (len(ids), head)), floats("rest", -1), np.frombuffer(r["least"], np.int64), k)
+                c_ids, c = np.frombuffer(r["c_ids"], np.int64), _unpacked(r["c_data"], r["c_width"], columns)
+                c_head, c_rest = floats("c_head", (len(c_ids), head)), floats("c_rest", -1)
+                step = max(1, -(-len(c_ids) // RUN_BLOCKS))
+                for at in range(0, len(c_ids), step):
+                    part = slice(at, at + step)
+                    if _stop(some.length, some.least) > math.sqrt(float((c_head[at] ** 2).sum() + c_rest[at] ** 2)) * (1 + SLACK) + SLACK:
+                        break  # the longest of the rest
+                    some.meet(c_ids[part], c[part], c_head[part], c_rest[part])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some.at), r["q_block"]), pa.int64()), pa.array(some.at.astype(np.int32)), pa.array(some.ids[some.at], pa.int64()), pa.array(some.found), pa.array(some.score)], names=["q_block", "q", "query_id", "vec_id", "score"])
+
+    def rise(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["q_block", "ids", "width", "data", "head", "rest"]
+        for batch in parts:
+            leasts, stops = [], []
+            for ids, rest, first, old, reached in zip(*[batch.column(c).to_pylist() for c in ("ids", "rest", "head", "least", "reached")]):
+                least = np.frombuffer(old, np.int64).copy()
+                for x in reached or []:
+                    least[x["q"]] = max(int(least[x["q"]]), x["score"])
+                length = np.sqrt((np.frombuffer(first, "<f8").reshape(len(least), -1) ** 2).sum(axis=1) + np.frombuffer(rest, "<f8") ** 2)
+                leasts.append(least.tobytes())
+                stops.append(_stop(length, least))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(leasts, pa.binary()), pa.array(stops, pa.float64())], names=[*names, "least", "stop"])
+
+    state = written(wanted.mapInArrow(begin, state_ddl), "queries")
+    top, first, size = None, 0, 1
+    while first < n_runs:
+        last = min(n_runs, first + size) - 1
+        longest = held.filter(F.col("number") == first).select("norm").first()[0]
+        live = state.filter(F.col("stop") <= longest * (1 + SLACK) + SLACK)
+        tier = held.filter(F.col("number").between(first, last)).select("number", F.col("ids").alias("c_ids"), F.col("width").alias("c_width"), F.col("data").alias("c_data"), F.col("head").alias("c_head"), F.col("rest").alias("c_rest"))
+        pairs = live.select("q_block", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("number"))
+        work = pairs.join(live.drop("stop"), "q_block").join(tier, "number").drop("number")
+        found = work.mapInArrow(meet, _TOP_DDL)
+        best = found if top is None else found.unionByName(top)
+        best = written(best.withColumn("place", F.row_number().over(each)).filter(F.col("place") <= k).select("q_block", "q", "query_id", "vec_id", "score"), "top")
+        if top is not None:
+            discard(top)
+        top, first, size = best, last + 1, size * GROWTH
+        if first < n_runs:
+            full = top.groupBy("q_block", "q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).filter(F.col("n") == k)
+            reached = full.groupBy("q_block").agg(F.collect_list(F.struct("q", "score")).alias("reached"))  # one for each query of a block
+            after = written(live.join(reached, "q_block", "left").mapInArrow(rise, state_ddl), "queries")
+            discard(state)
+            state = after
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
