@@ -220,7 +220,10 @@ def _second_pass(members: DataFrame, known: DataFrame) -> DataFrame:
     # components of one group: the hash of a large component (0 stands for those that share blocks)
     named = groups.select("key", "component", "own", "n", "shingles", F.when(F.col("own"), F.xxhash64("component")).otherwise(F.lit(0)).alias("group"))
     parts = named.groupBy("key", "group").agg(F.max("own").alias("own"), F.greatest(F.ceil(F.sum("n") / BLOCK_DOCS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("long").alias("of"))
-    placed = large.join(named.select("key", "component", "group"), ["key", "component"]).join(parts, ["key", "group"])
+    both = F.struct("key", "component").alias("both")
+    groups = named.join(parts.drop("own"), ["key", "group"]).select(both, "group", "of", "n")
+    # a bucket's large component is a hot key
+    placed = spread_join(large.select("key", "id", both), groups.select("both", "group", "of"), "both", groups.select("both", "n"), F.col("id"))
     placed = placed.select("key", "id", F.struct("group", F.pmod(F.xxhash64("id", F.lit(7)), F.col("of")).alias("part")).alias("chunk"))
     chunks = parts.select("key", "own", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("of") - 1), lambda p: F.struct(F.col("group").alias("group"), p.alias("part")))).alias("chunk"))
     one, two = chunks.select("key", F.col("chunk").alias("x"), F.col("own").alias("own")), chunks.select("key", F.col("chunk").alias("y"))
