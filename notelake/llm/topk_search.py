@@ -29,6 +29,8 @@ from .common import discard, written
 TOP, SCALE = 20, 64
 #: Vectors of a run, blocks that it is read in, queries of a block; runs of a tier for one of the tier before.
 RUN, RUN_BLOCKS, QUERY_BLOCK, GROWTH = 16_384, 8, 256, 8
+#: Blocks of queries that meet the same copy of a run.
+HAND = 2
 #: Share of the length that the first rotated coordinates hold.
 HEAD = 0.7
 #: For the rounding of the bounds, which are floating-point.
@@ -233,8 +235,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = RUN
         longest = held.filter(F.col("number") == first).select("norm").first()[0]
         live = state.filter(F.col("stop") <= longest * (1 + SLACK) + SLACK)
         tier = held.filter(F.col("number").between(first, last)).select("number", F.col("ids").alias("c_ids"), F.col("width").alias("c_width"), F.col("data").alias("c_data"), F.col("head").alias("c_head"), F.col("rest").alias("c_rest"))
-        pairs = live.select("q_block", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("number"))
-        work = pairs.join(live.drop("stop"), "q_block").join(tier, "number").drop("number")
+        # every block of queries asks for each run: a run is handed out once for so many of them
+        hands = max(1, -(-live.count() // HAND))
+        pairs = live.select("q_block", F.pmod("q_block", F.lit(hands)).alias("hand"), F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("number"))
+        tier = tier.withColumn("hand", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hands - 1).cast("long"))))
+        work = pairs.join(live.drop("stop"), "q_block").join(tier, ["number", "hand"]).drop("number", "hand")
         found = work.mapInArrow(meet, _TOP_DDL)
         best = found if top is None else found.unionByName(top)
         best = written(best.withColumn("place", F.row_number().over(each)).filter(F.col("place") <= k).select("q_block", "q", "query_id", "vec_id", "score"), "top")
