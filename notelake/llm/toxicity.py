@@ -256,13 +256,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = VO
                 worst, share = zip(*[vocabulary.worst(t) for t in bytes_of(batch.column(0))]) if batch.num_rows else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(worst, pa.list_(pa.int32())), pa.array(share, pa.float64()), batch.column(1)], names=["worst", "share", "toxic"])
 
-        # in an order of their own, so that a fit doesn't depend on the partitions
-        got = rows.mapInArrow(look, "worst array<int>, share double, toxic int").orderBy("toxic", "share", "worst").toArrow()
-        toxic = got.column("toxic").to_numpy() == 1
+        got = rows.mapInArrow(look, "worst array<int>, share double, toxic int").toArrow()
         lists = got.column("worst").combine_chunks()
-        ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
-        worst = np.split(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends[:-1])
-        model = Model(vocabulary.hashes, *solve(worst, got.column("share").to_numpy(), toxic, len(vocabulary.hashes)), 0.5)
+        worst = np.split(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1])
+        # in an order of their own, so that a fit doesn't depend on the partitions
+        sampled = sorted(zip(got.column("toxic").to_pylist(), got.column("share").to_pylist(), worst), key=lambda r: (r[0], r[1], r[2].tobytes()))
+        model = Model(vocabulary.hashes, *solve([r[2] for r in sampled], np.array([r[1] for r in sampled]), np.array([r[0] == 1 for r in sampled]), len(vocabulary.hashes)), 0.5)
 
         def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in parts:
