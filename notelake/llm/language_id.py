@@ -27,7 +27,7 @@ PROFILE = 400
 #: Documents of a language that profiles, and as many others that the least score of an accepted text, are learned from.
 SAMPLE_DOCS = 1500
 #: Share of labelled documents that may be as far from the profiles as they like, and of the score that all others reach.
-FAR, NEAR = 0.001, 0.85
+FAR, NEAR = 0.001, 0.9
 UNDETERMINED = "und"
 #: Long texts are counted in slices of so many characters.
 SLICE = 1 << 18
