@@ -66,7 +66,11 @@ class Model:
         """The largest w.x over the passages of each text; minus infinity without words."""
         out = np.full(len(texts), -np.inf)
         seen = np.zeros(len(texts), dtype=np.int64)  # words so far, for texts that come in parts
-        rest: dict[int, tuple[int, np.ndarray]] = {}
+        open_: tuple[int, int, np.ndarray] | None = None  # the last passage: its text, its place, its features
+
+        def settle(k: int, _: int, features: np.ndarray) -> None:
+            out[k] = max(out[k], float(self.weights[features].sum()))
+
         for held in segments(texts, 1 << 20):
             data = np.frombuffer(b" ".join([p for _, p in held]).lower(), dtype=np.uint8)
             starts, ends = word_spans(data, _INSIDE)
@@ -79,28 +83,37 @@ class Model:
             first = np.searchsorted(owner, owner, side="left")
             place = (np.arange(len(owner)) - first + seen[owner]) // PASSAGE
             seen += n
-            keys = [np.zeros((3, 0), np.int64)]
+            # (text, passage, feature) as one number; passages of a buffer are numbered from the least
+            low, size_v = int(place.min()), len(self.hashes) + 1
+            many = int(place.max()) - low + 1
+            group = (owner - int(owner[0])) * many + place - low
+            keys = [np.zeros(0, np.int64)]
             for size in (None, *PREFIXES) if len(self.hashes) else ():
                 # of a beginning, the hash has the size mixed in, so that it isn't the word of the same bytes
                 some = np.flatnonzero(ends - starts > size) if size else slice(None)
                 h = _feature_hashes(data, starts[some], ends[some], size)
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 known = self.hashes[at] == h
-                keys.append(np.stack([owner[some][known], place[some][known], at[known]]))
-            # each feature once for a passage; a passage that two parts share is put together again
-            key = np.unique(np.concatenate(keys, axis=1), axis=1)
+                keys.append(group[some][known] * size_v + at[known])
             for k in np.unique(owner).tolist():
                 out[k] = max(out[k], 0.0)
-            last = int(held[-1][0])
-            for k, (p, words) in rest.items():  # of the text that this buffer begins with, whichever it ends with
-                key = np.unique(np.concatenate([key, np.stack([np.full(len(words), k), np.full(len(words), p), words])], axis=1), axis=1)
-            rest.clear()
-            if key.shape[1]:
-                tail = int((seen[last] - 1) // PASSAGE)
-                mine = (key[0] == last) & (key[1] == tail)
-                rest[last] = (tail, key[2][mine])
-                group = np.flatnonzero(np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])])
-                np.maximum.at(out, key[0][group], np.add.reduceat(self.weights[key[2]], group))
+            last = int(owner[-1])
+            # a passage may go on in the next buffer: it is scored when that is known
+            if open_ and open_[:2] == (owner[0], place[0]):
+                keys.append((open_[1] - low) * size_v + open_[2])
+            elif open_:
+                settle(*open_)
+            # each feature once for a passage
+            key = np.unique(np.concatenate(keys))
+            group, feature = key // size_v, key % size_v
+            mine = group == (last - int(owner[0])) * many + int(place[-1]) - low
+            open_ = (last, int(place[-1]), feature[mine])
+            group, feature = group[~mine], feature[~mine]
+            if len(group):
+                first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                np.maximum.at(out, group[first] // many + int(owner[0]), np.add.reduceat(self.weights[feature], first))
+        if open_:
+            settle(*open_)
         return out
 
     def over(self, score: np.ndarray) -> np.ndarray:
