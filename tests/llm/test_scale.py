@@ -362,3 +362,41 @@ def test_very_long_texts(spark):
     got = {r["doc_id"]: r["spans"] for r in secret_scan.digest(secret_scan.findings(df)).collect()}
     assert got[3] == "assign:200001:200018" and got[1] == ""
     assert hashlib.sha256(b"").hexdigest() in {r["base_sha256"] for r in secret_scan.digest(secret_scan.findings(df)).collect()}
+
+
+# ---- licences
+
+HELD_OUT = [
+    ("mit", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"),
+    ("mit", "Distributed under the MIT License."), ("mit", "This project is licensed under the MIT license, see LICENSE"), ("mit", "// SPDX-License-Identifier: MIT"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."),
+    ("apache", "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at"),
+    ("apache", " * SPDX-License-Identifier: Apache-2.0"), ("apache", "Licensed under the Apache License, Version\n2.0"), ("gpl", "This file is licensed under the GNU General Public License version 2"),
+    ("gpl", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."),
+    ("agpl", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or any later version."),
+    ("lgpl", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 3 of the License, or any later version."),
+    ("mpl", "Licensed under the terms of the Mozilla Public License 2.0"), ("cc-by-sa", "Content is licensed under Creative Commons Attribution-ShareAlike 4.0 International License"), ("cc-by", "This chapter is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("proprietary", "Copyright 2020 X. All rights reserved."), ("bsd", "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file."), ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met:"),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appears in all copies."), ("unlicense", "This is free and unencumbered software, released into the\npublic domain."),
+]
+FOREIGN = [
+    "Licensed under the Eclipse Public License, Version 2.0.", "Licensed under the EUPL, Version 1.2.", "Released under the zlib License.", "This software is provided 'as-is', without any express or implied warranty.", "Licensed under the Academic Free License version 3.0",
+    "Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "Released under the Ruby License.", "Licensed under the Open Software License version 3.0", "Released under the WTFPL License.", "SPDX-License-Identifier: OFL-1.1",
+    "The contents of this file are subject to the terms of the CDDL, Version 1.1 (the License); you may not use this file except in compliance with the License.", "Licensed under the Server Side Public License, version 1.", "The general public has a license to use the software of the library.",
+    "Permission is granted to any person to visit the museum free of charge.", "All copies of the notice were sent to the following conditions committee.", "She reserved all the rights she had under the law.",
+]
+
+
+def test_held_out_licences(spark):
+    """Recall and precision on notices that no template has word for word, and on those of other licences."""
+    from notelake.llm import license_scan
+
+    rng = random.Random(7)
+    rows = [f"{sentence(rng)}.\n{t}\n{sentence(rng)}." for _, t in HELD_OUT] + [f"{sentence(rng)}.\n{t}\n{sentence(rng)}." for t in FOREIGN] + [sentence(rng, 200) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    corpus = common.table(spark, "/root/testdata/sf0.01", "documents")
+    got = {r["doc_id"]: r["families"] for r in license_scan.scan(docs, license_scan.fit(spark, corpus)).collect()}
+    right = sum(got[i] == k for i, (k, _) in enumerate(HELD_OUT))
+    said = sum(f != "" for f in got.values())
+    assert right >= 0.95 * len(HELD_OUT), [(k, got[i]) for i, (k, _) in enumerate(HELD_OUT) if got[i] != k]
+    assert right >= 0.95 * said, [(t, got[len(HELD_OUT) + i]) for i, t in enumerate(FOREIGN) if got[len(HELD_OUT) + i]]
