@@ -327,24 +327,28 @@ def merge(words: np.ndarray, lcp: np.ndarray, run: np.ndarray, n_runs: int, lane
 def smaller_elsewhere(words: np.ndarray, lens: np.ndarray, docs: np.ndarray, length: int, gram: int, shared: np.ndarray | None = None) -> np.ndarray:
     """A mask for each of the sorted keys: bit o says that the string from o bytes before the anchor starts in a smaller document too."""
     n, reach = len(words), length - gram
-    half = -(-(length + 1) // 8)
+    half = 8 * -(-(length + 1) // 8)
     same = np.zeros(n, np.int64)
     if n > 1:
-        same[1:] = np.minimum(common_bytes(words[1:, :half], words[:-1, :half]), length)
+        same[1:] = np.minimum(common_bytes(words[1:, : half // 8], words[:-1, : half // 8]), length)
     mask = np.zeros(n, np.uint32 if reach < 32 else np.uint64)
     right, left = lens[:, 0].astype(np.int64), lens[:, 1].astype(np.int64)
-    fold = np.zeros(n, _U)
-    from .hashing import mix
+    # the bytes before the anchors in order, and how many of these each shares with the one before it
+    before = words[:, half // 8 :]
+    order = np.lexsort(before.T[::-1])
+    agree = np.zeros(n, np.int64)
+    if n > 1:
+        agree[1:] = common_bytes(before[order][1:], before[order][:-1])
+    alike = np.zeros(n, np.int64)
 
     for o in range(reach + 1):
-        if o:  # one more byte before the anchor
-            byte = (words[:, half + (o - 1) // 8] >> _U(56 - 8 * ((o - 1) % 8))) & _U(255)
-            fold = mix(fold * _U(0x9FB21C651E98DF25) + byte + _U(1))
-        block = np.cumsum(same < length - o).astype(_U)
+        # those that agree in the o bytes before the anchor, and in the bytes from it on
+        alike[order] = np.cumsum(agree < o)
+        block = np.cumsum(same < length - o)
         some = np.flatnonzero((right >= length - o) & (left >= o))
         if not len(some):
             continue
-        key = mix(block[some] * _U(0xD1342543DE82EF95) + fold[some])
+        key = block[some] * (n + 1) + alike[some]
         by = np.argsort(key)
         k, d = key[by], docs[some][by]
         start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
@@ -362,7 +366,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
 
     Null texts count as empty. Rows that repeat a doc_id are judged each against smaller ids only. A
     row without an id loses nothing and takes nothing from others. An empty table gives no rows. Strings are
-    compared byte by byte; only the bytes before an anchor are compared by a 64-bit hash.
+    compared byte by byte; hashes only say which are sent, and where.
     """
     rows = id_and_text(docs)
     held = written(runs(rows.filter("doc_id is not null"), run_bytes), "runs", "uncompressed")
