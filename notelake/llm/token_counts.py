@@ -56,6 +56,7 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.path = path
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
@@ -174,7 +175,7 @@ class PieceEncoder:
             starts, ends = word_spans(data, ~SPACE)
             if not len(starts):
                 continue
-            where = self.table.find(span_hashes(data, starts, ends), lambda i: self._piece(buffer[starts[i] : ends[i]]))
+            where = self.table.find(span_hashes(data, starts, ends), data, starts, ends, lambda i: self._piece(buffer[starts[i] : ends[i]]))
             lengths = self.table.lengths[where]
             begins = np.cumsum([0] + [len(p) + 1 for _, p in held[:-1]])
             owner = np.array([k for k, _ in held])[np.searchsorted(begins, starts, side="right") - 1]
@@ -187,11 +188,14 @@ class PieceEncoder:
 
 
 class PieceTable:
-    """Ids by the 64-bit hash of their piece, in arrays, so that a buffer's pieces are looked up at once.
+    """Ids by piece, in arrays, so that a buffer's pieces are looked up at once: by a 64-bit hash, and then by their bytes.
 
-    Two of n pieces share a hash with a chance of n * n / 2**65. It starts anew beyond KEPT_PIECES.
+    Of pieces with the same hash the first is kept to be found; the others get an entry each time. It starts anew beyond KEPT_PIECES.
     """
 
+    #: Bytes of a piece that are compared in arrays; longer pieces are compared one by one.
+    WIDTH = 16
+
     def __init__(self):
         self.clear()
 
@@ -199,9 +203,17 @@ class PieceTable:
         self.n = self.used = 0
         self.bits = 16
         self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.hashes, self.offsets, self.lengths = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.hashes, self.offsets, self.lengths, self.sizes = np.zeros(1 << 14, np.uint64), *(np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.words = np.zeros((1 << 14, self.WIDTH // 8), np.uint64)
+        self.long: dict[int, bytes] = {}
         self.pool = np.zeros(1 << 16, dtype="<u4")
 
+    def _first_bytes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        j = np.arange(self.WIDTH)
+        got = data[np.minimum(starts[:, None] + j, len(data) - 1)]
+        got[j >= sizes[:, None]] = 0
+        return got.view(np.uint64)
+
     def _probe(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash, or -1."""
         mask = np.int64((1 << self.bits) - 1)
@@ -231,39 +243,58 @@ class PieceTable:
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+        return a if n <= len(a) else np.concatenate([a, np.zeros((max(n, 2 * len(a)) - len(a), *a.shape[1:]), a.dtype)])
 
-    def find(self, h: np.ndarray, make) -> np.ndarray:
-        """The entry of each hash; make(i) gives the ids of piece i where its hash is new."""
+    def find(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, make) -> np.ndarray:
+        """The entry of each piece data[start:end] with its hash; make(i) gives the ids of piece i where it is new."""
+        sizes = ends - starts
+        words = self._first_bytes(data, starts, sizes)
+        raw = lambda i: data[starts[i] : ends[i]].tobytes()
         got = self._probe(h)
         missing = np.flatnonzero(got < 0)
-        if not len(missing):
-            return got
-        fresh, first = np.unique(h[missing], return_index=True)
-        if self.n + len(fresh) > KEPT_PIECES and self.n:
-            self.clear()
-            return self.find(h, make)
-        lists = [make(i) for i in missing[first].tolist()]
+        if len(missing):
+            fresh, first = np.unique(h[missing], return_index=True)
+            if self.n + len(fresh) > KEPT_PIECES and self.n:
+                self.clear()
+                return self.find(h, data, starts, ends, make)
+            entries = self._keep(missing[first], h, words, sizes, raw, make)
+            if 2 * self.n > len(self.keys):
+                while 2 * self.n > 1 << self.bits:
+                    self.bits += 1
+                self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+                # of entries with one hash, the first is the one that was placed before
+                known, at = np.unique(self.hashes[: self.n], return_index=True)
+                self._place(known, at.astype(np.int32))
+            else:
+                self._place(fresh, entries)
+            got[missing] = self._probe(h[missing])
+        same = (self.sizes[got] == sizes) & (self.words[got] == words).all(axis=1)
+        for i in np.flatnonzero(same & (sizes > self.WIDTH)).tolist():
+            same[i] = self.long[int(got[i])] == raw(i)
+        other = np.flatnonzero(~same)
+        if len(other):
+            got[other] = self._keep(other, h, words, sizes, raw, make)
+        return got
+
+    def _keep(self, pieces: np.ndarray, h: np.ndarray, words: np.ndarray, sizes: np.ndarray, raw, make) -> np.ndarray:
+        """New entries of some pieces."""
+        lists = [make(i) for i in pieces.tolist()]
         lengths = np.array([len(x) for x in lists], dtype=np.int64)
         ids = np.array([i for x in lists for i in x], dtype="<u4")
-        n, used = self.n + len(fresh), self.used + len(ids)
-        for name in ("hashes", "offsets", "lengths"):
+        n, used = self.n + len(pieces), self.used + len(ids)
+        for name in ("hashes", "offsets", "lengths", "sizes", "words"):
             setattr(self, name, self._room(getattr(self, name), n))
         self.pool = self._room(self.pool, used)
-        self.hashes[self.n : n], self.lengths[self.n : n] = fresh, lengths
-        self.offsets[self.n : n] = self.used + np.cumsum(lengths) - lengths
+        new = slice(self.n, n)
+        self.hashes[new], self.lengths[new], self.sizes[new], self.words[new] = h[pieces], lengths, sizes[pieces], words[pieces]
+        self.offsets[new] = self.used + np.cumsum(lengths) - lengths
         self.pool[self.used : used] = ids
         entries = np.arange(self.n, n, dtype=np.int32)
+        for e, i in zip(entries.tolist(), pieces.tolist()):
+            if sizes[i] > self.WIDTH:
+                self.long[e] = raw(i)
         self.n, self.used = n, used
-        if 2 * n > len(self.keys):
-            while 2 * n > 1 << self.bits:
-                self.bits += 1
-            self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-            self._place(self.hashes[:n], np.arange(n, dtype=np.int32))
-        else:
-            self._place(fresh, entries)
-        got[missing] = self._probe(h[missing])
-        return got
+        return entries
 
 
 _encoders: dict[str, PieceEncoder] = {}
