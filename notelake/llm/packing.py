@@ -32,6 +32,8 @@ WINDOW, END_ID = 4096, 2
 #: In tokens of padding: what a cut at a sentence's end, or elsewhere inside a document, costs.
 SENTENCE_PENALTY, INNER_PENALTY = 24, 96
 GRID, BLOCK_TOKENS = 1024, 1 << 19
+#: Bytes of texts that are encoded together.
+BATCH_BYTES = 1 << 20
 SENTENCE_ENDS = (".", "!", "?", "。", "！", "？")
 
 _SCHEMA = arrow_schema({"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()})
@@ -177,21 +179,26 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, en
         encode = encoder(vocabulary)
         marks = [encode.library.token_to_id(m + s) for m in SENTENCE_ENDS for s in ("", "</w>")]
         stream = Stream(TaskContext.get().partitionId() << 33, window, np.array([m for m in marks if m is not None], dtype="<u4"))
-        end = np.array([end_id], dtype="<u4")
+        end_ids = np.array([end_id], dtype="<u4")
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
         for batch in parts:
             ids_of, texts = batch.column(0).to_pylist(), bytes_of(batch.column(1))
-            for at in range(0, len(texts), 256):
-                some = texts[at : at + 256]
+            size = np.cumsum([len(t) for t in texts])
+            at = 0
+            while at < len(texts):
+                # texts of about BATCH_BYTES together, one at least
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+                some = texts[at:end]
                 counts, ids = encode.batch(some)
                 rows: list[tuple] = []
-                for doc_id, stop, n in zip(ids_of[at : at + 256], np.cumsum(counts).tolist(), counts.tolist()):
-                    rows.extend(stream.add(doc_id, np.concatenate([ids[stop - n : stop], end])))
+                for doc_id, stop, n in zip(ids_of[at:end], np.cumsum(counts).tolist(), counts.tolist()):
+                    rows.extend(stream.add(doc_id, np.concatenate([ids[stop - n : stop], end_ids])))
                 if rows:
                     yield out(rows)
+                at = end
         rows = list(stream.settle(True))
         if rows:
             yield out(rows)
