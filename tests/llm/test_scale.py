@@ -400,3 +400,53 @@ def test_held_out_licences(spark):
     said = sum(f != "" for f in got.values())
     assert right >= 0.95 * len(HELD_OUT), [(k, got[i]) for i, (k, _) in enumerate(HELD_OUT) if got[i] != k]
     assert right >= 0.95 * said, [(t, got[len(HELD_OUT) + i]) for i, t in enumerate(FOREIGN) if got[len(HELD_OUT) + i]]
+
+
+# ---- pieces
+
+
+def test_pieces_with_one_hash_are_told_apart(monkeypatch):
+    from test_operators import library, some_texts
+
+    texts = [t for t in some_texts(3, 40) if t]
+    texts += ["antidisestablishmentarianism antidisestablishmentarianisms antidisestablishmentarianismx", "a\x00b a"]
+    real = token_counts.span_hashes
+    lib = library()
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for few in (1, 5, 97):
+        monkeypatch.setattr(token_counts, "span_hashes", lambda d, s, e, few=few: real(d, s, e) % np.uint64(few) + np.uint64(1))
+        encode = token_counts.PieceEncoder(token_counts.encoder(token_counts.VOCABULARY).path)
+        for _ in range(2):
+            counts, ids = encode.batch([t.encode() for t in texts])
+            assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_masks_are_exact_for_equal_hashes_of_nothing():
+    """Strings around anchors against brute force, with bytes before the anchors that differ late."""
+    rng = np.random.default_rng(2)
+    length, gram = 12, 6
+    reach = length - gram
+    half = 8 * -(-(length + 1) // 8)
+    rows = []
+    for _ in range(300):
+        right, left = rng.integers(gram, length + 1), rng.integers(0, reach + 1)
+        rows.append((bytes(rng.integers(97, 99, right).tolist()), bytes(rng.integers(97, 99, left).tolist()), int(rng.integers(0, 40))))
+    keys = np.zeros((len(rows), 8 * suffix_dedup.key_words(length, gram)), np.uint8)
+    for i, (r, l, _) in enumerate(rows):
+        keys[i, : len(r)], keys[i, half - 1] = np.frombuffer(r, np.uint8), length - len(r)
+        keys[i, half : half + len(l)], keys[i, -1] = np.frombuffer(l, np.uint8), reach - len(l)
+    words = keys.view(">u8").astype(np.uint64)
+    order = np.lexsort(words.T[::-1])
+    rows = [rows[i] for i in order]
+    lens = np.array([(len(r), len(l)) for r, l, _ in rows], np.uint8)
+    docs = np.array([d for *_, d in rows])
+    mask = suffix_dedup.smaller_elsewhere(words[order], lens, docs, length, gram)
+    for o in range(reach + 1):
+        least = {}
+        for r, l, d in rows:
+            if len(r) >= length - o and len(l) >= o:
+                s = (l[:o], r[: length - o])
+                least[s] = min(least.get(s, d), d)
+        for m, (r, l, d) in zip(mask, rows):
+            inside = len(r) >= length - o and len(l) >= o
+            assert bool(m >> o & 1) == (inside and least[(l[:o], r[: length - o])] < d)
