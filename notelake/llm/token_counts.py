@@ -182,7 +182,7 @@ class PieceEncoder:
             counts += np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64)
             if want_ids:
                 total = int(lengths.sum())
-                first = np.cumsum(lengths) - lengths
+                first = np.cumsum(lengths, dtype=np.int64) - lengths
                 out.append(self.table.pool[np.repeat(self.table.offsets[where] - first, lengths) + np.arange(total)])
         return counts, np.concatenate(out) if out else np.zeros(0, "<u4")
 
@@ -202,48 +202,48 @@ class PieceTable:
     def clear(self) -> None:
         self.n = self.used = 0
         self.bits = 16
-        self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.hashes, self.offsets, self.lengths, self.sizes = np.zeros(1 << 14, np.uint64), *(np.zeros(1 << 14, np.int64) for _ in range(3))
-        self.words = np.zeros((1 << 14, self.WIDTH // 8), np.uint64)
+        #: The entry in each slot of a hash table, -1 for none.
+        self.at = np.full(1 << self.bits, -1, np.int32)
+        self.hashes, self.words = np.zeros(1 << 14, np.uint64), np.zeros((1 << 14, self.WIDTH // 8), np.uint64)
+        self.offsets, self.lengths, self.sizes = (np.zeros(1 << 14, np.int32) for _ in range(3))
         self.long: dict[int, bytes] = {}
         self.pool = np.zeros(1 << 16, dtype="<u4")
 
     def _first_bytes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        j = np.arange(self.WIDTH)
-        got = data[np.minimum(starts[:, None] + j, len(data) - 1)]
-        got[j >= sizes[:, None]] = 0
-        return got.view(np.uint64)
+        out = np.zeros((len(starts), self.WIDTH), np.uint8)
+        for j in range(self.WIDTH):  # a byte of each piece at a time
+            some = np.flatnonzero(sizes > j)
+            out[some, j] = data[starts[some] + j]
+        return out.view(np.uint64)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _probe(self, h: np.ndarray) -> np.ndarray:
-        """The entry of each hash, or -1."""
-        mask = np.int64((1 << self.bits) - 1)
-        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        key = self.keys[slot]
-        got = np.where(key == h, self.at[slot], -1)
-        left = np.flatnonzero((key != h) & (key != 0))
+        """The first entry of each hash, or -1."""
+        mask, slot = np.int64((1 << self.bits) - 1), self._slots(h)
+        got = self.at[slot]
+        left = np.flatnonzero((got >= 0) & (self.hashes[got] != h))
         while len(left):
             slot[left] = (slot[left] + 1) & mask
-            key = self.keys[slot[left]]
-            found = key == h[left]
-            got[left[found]] = self.at[slot[left[found]]]
-            left = left[~found & (key != 0)]
+            got[left] = self.at[slot[left]]
+            left = left[(got[left] >= 0) & (self.hashes[got[left]] != h[left])]
         return got
 
     def _place(self, h: np.ndarray, entry: np.ndarray) -> None:
-        mask = np.int64((1 << self.bits) - 1)
-        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        mask, slot = np.int64((1 << self.bits) - 1), self._slots(h)
         while len(h):
-            free = self.keys[slot] == 0
             _, first = np.unique(slot, return_index=True)
             wins = np.zeros(len(h), dtype=bool)
             wins[first] = True
-            wins &= free
-            self.keys[slot[wins]], self.at[slot[wins]] = h[wins], entry[wins]
+            wins &= self.at[slot] < 0
+            self.at[slot[wins]] = entry[wins]
             h, entry, slot = h[~wins], entry[~wins], (slot[~wins] + 1) & mask
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.zeros((max(n, 2 * len(a)) - len(a), *a.shape[1:]), a.dtype)])
+        """a with place for n, and a quarter more where it has to grow."""
+        return a if n <= len(a) else np.concatenate([a, np.zeros((max(n, len(a) + len(a) // 4) - len(a), *a.shape[1:]), a.dtype)])
 
     def find(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, make) -> np.ndarray:
         """The entry of each piece data[start:end] with its hash; make(i) gives the ids of piece i where it is new."""
@@ -258,10 +258,10 @@ class PieceTable:
                 self.clear()
                 return self.find(h, data, starts, ends, make)
             entries = self._keep(missing[first], h, words, sizes, raw, make)
-            if 2 * self.n > len(self.keys):
+            if 2 * self.n > len(self.at):
                 while 2 * self.n > 1 << self.bits:
                     self.bits += 1
-                self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+                self.at = np.full(1 << self.bits, -1, np.int32)
                 # of entries with one hash, the first is the one that was placed before
                 known, at = np.unique(self.hashes[: self.n], return_index=True)
                 self._place(known, at.astype(np.int32))
