@@ -211,7 +211,10 @@ def _second_pass(members: DataFrame, known: DataFrame) -> DataFrame:
     """
     at = members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    at = written(at.join(open_, "key", "left_semi"), "open")
+    # a large bucket is a hot key
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    at = spread_join(at.withColumnRenamed("n", "size"), open_.withColumn("is_open", F.lit(True)), "key", sizes, F.col("id")).filter("is_open")
+    at = written(at.select("key", "id", F.col("size").alias("n"), "early", "parts", "component"), "open")
     # a small bucket of the first bands has been compared as a whole
     small = at.filter("parts = 1 and not early").select(F.struct("key", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("other")).alias("block"), "id")
     large = at.filter("parts > 1")
