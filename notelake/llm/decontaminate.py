@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import small, written
 from .hashing import span_hashes, word_spans
 
 WINDOW = 13
@@ -253,7 +253,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, batch_w
 
         def run(parts: Iterator[pa.RecordBatch], shared=shared, key=(uuid.uuid4().hex, window)) -> Iterator[pa.RecordBatch]:
             matcher = None
-            for batch in parts:
+            for batch in small(parts):
                 matcher = matcher or _matcher(shared, key)
                 texts = [t or b"" for t in batch.column(names.index("text")).cast(pa.large_binary()).to_pylist()]
                 counts, found = matcher.find(texts)

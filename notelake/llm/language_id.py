@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bytes_of, id_and_text
+from .common import arrow_schema, bytes_of, id_and_text, small
 
 PROFILE = 400
 #: Documents of a language that profiles, and as many others that the least score of an accepted text, are learned from.
@@ -139,7 +139,7 @@ def learn(docs: DataFrame, profile: int = PROFILE, sample_docs: int = SAMPLE_DOC
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, dict[int, int]] = {}
-        for batch in parts:
+        for batch in small(parts):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes, counts = ngram_counts(text)
                 mine = total.setdefault(lang, {})
@@ -169,7 +169,7 @@ def identify(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     schema = arrow_schema({"doc_id": pa.int64(), "lang_pred": pa.string(), "score": pa.float64()})
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             got = [known.predict(t.decode("utf-8", "replace")) for t in bytes_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema=schema)
 
@@ -181,7 +181,7 @@ def least_score(docs: DataFrame, profiles: Profiles, sample_docs: int = SAMPLE_D
     """The least score of an accepted text; 0 where there are no labelled documents."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             got = [profiles.predict(t.decode("utf-8", "replace")) for t in bytes_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([s for name, s in got if name != UNDETERMINED], pa.float64())], names=["score"])
 
@@ -200,7 +200,7 @@ def accepted(docs: DataFrame, profiles: Profiles | None = None, least: float | N
     names = docs.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             texts = bytes_of(batch.column(names.index("text")))
             got = [known.predict(t.decode("utf-8", "replace")) for t in texts]
             yield batch.filter(pa.array([name != UNDETERMINED and score > 0 and score >= least for name, score in got], pa.bool_()))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, id_and_text, spread_join, written
+from .common import bytes_of, id_and_text, small, spread_join, written
 from .components import connected_components
 from .hashing import SPACE, mix, segments, span_hashes, word_spans
 
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
     schema = pa.schema(fields)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             n, a, b, keys, ends = [], [], [], [], [0]
             for s in shingle_sets(bytes_of(batch.column(1)), words):
                 n.append(len(s))
@@ -137,7 +137,7 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             sets = [s.tobytes() for s in shingle_sets(bytes_of(batch.column(1)), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=schema)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, bytes_of, id_and_text
+from .common import arrow_schema, bytes_of, id_and_text, small
 from .token_counts import VOCABULARY, encoder
 
 WINDOW, END_ID = 4096, 2
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, en
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
-        for batch in parts:
+        for batch in small(parts):
             ids_of, texts = batch.column(0).to_pylist(), bytes_of(batch.column(1))
             size = np.cumsum([len(t) for t in texts])
             at = 0

@@ -20,13 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, bytes_of, id_and_text
+from .common import arrow_schema, bytes_of, id_and_text, small
 from .hashing import SPACE, span_hashes, word_spans
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 #: A text is sliced beyond so many bytes, and the kept pieces are dropped beyond so many.
-SLICE_BYTES, KEPT_PIECES = 1 << 20, 2_500_000
+SLICE_BYTES, KEPT_PIECES = 1 << 20, 1_000_000
 
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ɏ"
 #: Pieces for which Unicode versions and normal forms can't matter.
@@ -324,7 +324,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = TOK
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for batch in parts:
+        for batch in small(parts):
             texts = bytes_of(batch.column(1))
             n = encode.batch(texts, want_ids=False)[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())], schema=schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bytes_of, discard, id_and_text, written
+from .common import arrow_schema, bytes_of, discard, id_and_text, small, written
 from .hashing import mix, segments, span_hashes, word_spans
 
 GRADES = 4
@@ -250,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = VO
             return list(zip(bytes_of(batch.column(0)), batch.column(1).to_pylist()))
 
         def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in parts:
+            for batch in small(parts):
                 for at in range(0, batch.num_rows, 64):
                     f, toxic, clean = feature_counts(each(batch.slice(at, 64)))
                     yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(toxic), pa.array(clean)], names=["feature", "toxic", "clean"])
@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = VO
             return _NOTHING
 
         def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in parts:
+            for batch in small(parts):
                 worst, share = zip(*[vocabulary.worst(t) for t in bytes_of(batch.column(0))]) if batch.num_rows else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(worst, pa.list_(pa.int32())), pa.array(share, pa.float64()), batch.column(1)], names=["worst", "share", "toxic"])
 
@@ -277,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = VO
         model = Model(vocabulary.hashes, *solve([r[2] for r in sampled], np.array([r[1] for r in sampled]), np.array([r[0] == 1 for r in sampled]), len(vocabulary.hashes)), 0.5)
 
         def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in parts:
+            for batch in small(parts):
                 yield pa.RecordBatch.from_arrays([pa.array(model.over(model.score(bytes_of(batch.column(0))))[:, 0]), batch.column(1)], names=["p", "toxic"])
 
         said = rows.mapInArrow(score, "p double, toxic int").toArrow()
@@ -297,7 +297,7 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
     schema = arrow_schema({"doc_id": pa.int64(), "severity": pa.float64(), "grade": pa.int32(), "toxic": pa.bool_()})
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             score = model.score(bytes_of(batch.column(1)))
             over = np.where(np.isfinite(score)[:, None], model.over(score), 0.0)
             toxic = (over[:, 0] >= model.cut) & np.isfinite(score)
