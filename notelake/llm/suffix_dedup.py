@@ -334,11 +334,12 @@ def smaller_elsewhere(words: np.ndarray, lens: np.ndarray, docs: np.ndarray, len
     mask = np.zeros(n, np.uint32 if reach < 32 else np.uint64)
     right, left = lens[:, 0].astype(np.int64), lens[:, 1].astype(np.int64)
     # the bytes before the anchors in order, and how many of these each shares with the one before it
-    before = words[:, half // 8 :]
-    order = np.lexsort(before.T[::-1])
-    agree = np.zeros(n, np.int64)
+    order = np.lexsort(words[:, half // 8 :].T[::-1])
+    before = words[order, half // 8 :]
+    agree = np.zeros(n, np.int16)
     if n > 1:
-        agree[1:] = common_bytes(before[order][1:], before[order][:-1])
+        agree[1:] = common_bytes(before[1:], before[:-1])
+    del before
     alike = np.zeros(n, np.int64)
 
     for o in range(reach + 1):
@@ -448,10 +449,16 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
             differ = w[1:] != w[:-1]
             lcps.append(np.r_[0, np.where(differ.any(axis=1), differ.argmax(axis=1), w.shape[1])])
             docs_.append(_unzip(r["docs"], np.int64, r["n"]))
-            run_of.append(np.full(r["n"], k))
-        words, doc, run_of = np.concatenate(keys), np.concatenate(docs_), np.concatenate(run_of)
-        order, shared = merge(words, np.concatenate(lcps), run_of, len(got))
+            run_of.append(np.full(r["n"], k, np.int32))
+            r["common"] = r["rest"] = r["docs"] = None
+        del text, packed, source, own, w, differ
+        words = np.concatenate(keys)
+        del keys
+        doc, run_of, known = np.concatenate(docs_), np.concatenate(run_of), np.concatenate(lcps)
+        del docs_, lcps
+        order, _ = merge(words, known, run_of, len(got))
         w = words[order]
+        del words, known, run_of
         last = half // 8 - 1
         lens = np.stack([length - (w[:, last] & _U(255)).astype(np.int64), reach - (w[:, -1] & _U(255)).astype(np.int64)], axis=1)
         mask = np.empty(len(order), np.uint32 if reach < 32 else np.uint64)
