@@ -194,9 +194,19 @@ def key_words(length: int, gram: int) -> int:
     return -(-(length + 1) // 8) + -(-(length - gram + 1) // 8)
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """A range of the hashes (of 44 bits) for each."""
-    return ((hashes >> _U(12)) * _U(buckets)) >> _U(32)
+def _bucket(hashes: np.ndarray, buckets: int, places: int = LENGTH - GRAM + 1) -> np.ndarray:
+    """A range of the anchors' hashes (of 44 bits) for each, all ranges about equally full.
+
+    An anchor's hash is the least of `places` hashes, so low ones are frequent: with x in [0, 1), those above x are
+    (1 - x)**places * (1 + (places - 1) * x / 2) of all. In whole numbers, which give the same on any machine.
+    """
+    one = _U((1 << 32) - 1)
+    x = hashes >> _U(12)
+    above = one - x
+    for _ in range(places - 1):
+        above = (above * (one - x)) >> _U(32)
+    above = (above * ((_U(1 << 32) + ((x * _U(places - 1)) >> _U(1))) >> _U(8))) >> _U(24)
+    return ((one - np.minimum(above, one)) * _U(buckets)) >> _U(32)
 
 
 def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -372,7 +382,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
     rows = id_and_text(docs)
     held = written(runs(rows.filter("doc_id is not null"), run_bytes), "runs", "uncompressed")
     size = held.agg(F.sum("size")).first()[0] or 0
-    buckets = max(12, math.ceil(size * 2 / (length - gram + 2) / bucket_hashes))
+    places = length - gram + 1
+    buckets = max(12, math.ceil(size * 2 / (places + 1) / bucket_hashes))
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in parts:
@@ -387,7 +398,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each(parts):
             unique = Run(row, length, gram).unique
-            out = [(b, row["run"], len(i), _zip(np.diff(unique[i], prepend=_U(0)))) for b, i in _pieces(_bucket(unique, buckets))]
+            out = [(b, row["run"], len(i), _zip(np.diff(unique[i], prepend=_U(0)))) for b, i in _pieces(_bucket(unique, buckets, places))]
             if out:
                 yield batch_of(out, asked_schema)
 
@@ -409,8 +420,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
 
     def prepared(row: dict) -> Run:
         r = Run(row, length, gram)
-        elsewhere = [np.unpackbits(np.frombuffer(h["bits"], np.uint8), count=h["n"]).astype(bool) for h in row["hints"] or []]
-        r.contexts((np.concatenate(elsewhere) if elsewhere else np.zeros(0, bool)) | r.shared_here())
+        elsewhere, hints = np.zeros(len(r.unique), bool), {h["bucket"]: h for h in row["hints"] or []}
+        for b, i in _pieces(_bucket(r.unique, buckets, places)):
+            elsewhere[i] = np.unpackbits(np.frombuffer(hints[b]["bits"], np.uint8), count=hints[b]["n"]).astype(bool)
+        r.contexts(elsewhere | r.shared_here())
         return r
 
     half, reach = 8 * -(-(length + 1) // 8), length - gram
@@ -420,7 +433,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
     def exchange(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each(parts):
             r, out = prepared(row), []
-            for b, i in _pieces(_bucket(r.entry_hash, ranges)):
+            for b, i in _pieces(_bucket(r.entry_hash, ranges, places)):
                 text = np.ascontiguousarray(r.words[i].astype(">u8")).view(np.uint8)[:, sent]
                 differ = text[1:] != text[:-1]
                 common = np.r_[0, np.where(differ.any(axis=1), differ.argmax(axis=1), text.shape[1])].astype(np.uint8)
@@ -476,7 +489,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes:
             r = prepared(row)
             mask = np.zeros(len(r.least), np.uint32 if reach < 32 else np.uint64)
             told_masks = {m["range"]: m for m in row["masks"] or []}
-            for b, i in _pieces(_bucket(r.entry_hash, ranges)):
+            for b, i in _pieces(_bucket(r.entry_hash, ranges, places)):
                 mask[i] = _unzip(told_masks[b]["masks"], mask.dtype, told_masks[b]["n"])
             later = r.ids[r.doc[r.occ]] > r.least[r.entry]  # not the smallest of its own run: every string around it goes
             place, bits, lens = r.places[r.occ], mask[r.entry], r.lens[r.entry].astype(np.int64)
