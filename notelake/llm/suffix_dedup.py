@@ -34,10 +34,10 @@ from .hashing import window_hashes
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a run; hashes and suffixes for which a bucket is planned.
-RUN_BYTES, BUCKET_HASHES, BUCKET_SUFFIXES = 4 << 20, 700_000, 120_000
+RUN_BYTES, BUCKET_HASHES, BUCKET_SUFFIXES = 4 << 20, 700_000, 240_000
 #: Texts are searched for anchors in slices of so many bytes.
 SLICE = 1 << 20
-LANES = 1024
+LANES = 2048
 #: Contexts that are gathered at once.
 GATHERED = 32_768
 _U = np.uint64
@@ -161,7 +161,7 @@ class Run:
         self.occ = want
         words = np.concatenate(keys) if keys else np.zeros((0, key_words(self.length, self.gram)), _U)
         lens_ = np.concatenate(lens) if lens else np.zeros((0, 2), np.uint8)
-        order = np.lexsort(words.T[::-1]) if len(words) else np.zeros(0, np.int64)
+        order = _sorted(words)
         words = words[order]
         new = np.r_[True, (words[1:] != words[:-1]).any(axis=1)] if len(words) else np.zeros(0, bool)
         self.entry = np.empty(len(order), dtype=np.int64)
@@ -218,6 +218,12 @@ def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b[i]), order[i:j]
 
 
+def _sorted(words: np.ndarray) -> np.ndarray:
+    """The order of rows of big-endian words, equal ones as they come: as byte strings of one length."""
+    text = np.ascontiguousarray(words).astype(">u8")
+    return np.argsort(text.view(f"S{8 * words.shape[1]}").reshape(-1), kind="stable")
+
+
 def common_bytes(words: np.ndarray, other: np.ndarray) -> np.ndarray:
     """How many leading bytes the rows of two arrays of big-endian words share."""
     differ = words != other
@@ -344,7 +350,7 @@ def smaller_elsewhere(words: np.ndarray, lens: np.ndarray, docs: np.ndarray, len
     mask = np.zeros(n, np.uint32 if reach < 32 else np.uint64)
     right, left = lens[:, 0].astype(np.int64), lens[:, 1].astype(np.int64)
     # the bytes before the anchors in order, and how many of these each shares with the one before it
-    order = np.lexsort(words[:, half // 8 :].T[::-1])
+    order = _sorted(words[:, half // 8 :])
     before = words[order, half // 8 :]
     agree = np.zeros(n, np.int16)
     if n > 1:
