@@ -157,7 +157,20 @@ class RecordSet:
     def list(self, path: str) -> str:
         return "".join(f"- {t[0]}\n" for t in self._texts([path]))
 
+    def task_lines(self) -> DataFrame:
+        """The lines of `task_list` as a relation (line, text), numbered from 0: for lists longer than the driver can hold."""
+        if self.level != "task":
+            if self.is_empty():
+                return self.files.sparkSession.createDataFrame([], "line long, text string")
+            raise TaskRowsError("a task list needs rows of tasks")
+        said = F.concat(F.when(F.col("task.completed"), "- [x] ").otherwise("- [ ] "), F.coalesce("task.text", F.lit("")))
+        # made before the sort, so that only it and the keys are sorted
+        items = self.values("task.completed", "task.text").select(said.alias("__said"), *[n for n, _ in self.ordering]).orderBy(*self.order())
+        lines = items.select(F.explode(F.split("__said", "\n")).alias("text"))
+        return lines.select(InternalFunction.distributed_sequence_id().alias("line"), "text")
+
     def task_list(self) -> str:
+        """A line for each task; the driver holds all of them."""
         if self.level != "task":
             if self.is_empty():
                 return ""

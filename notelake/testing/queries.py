@@ -429,7 +429,7 @@ def render_list(spark, sf_dir):
     FROM (SELECT *, CASE WHEN completed THEN '- [x] ' ELSE '- [ ] ' END || text AS said FROM {_T} WHERE o_orderstatus = 'F')
 """)
 def render_task_list(spark, sf_dir):
-    return _text(spark, vault(spark, sf_dir, "orders").tasks("orders/f/").task_list())
+    return vault(spark, sf_dir, "orders").tasks("orders/f/").task_lines().select(F.col("line").cast("int"), "text")
 
 
 @query("render_kinds", f"""

@@ -99,3 +99,25 @@ def test_a_rendered_task_list_holds_every_task(spark):
     sf = "/root/testdata/sf0.001"
     n = vault(spark, sf, "orders", tasks=True).tasks("orders/f/", inlinks=False).df.count()
     assert n > 30 and render_task_list(spark, sf).count() == n
+
+
+def test_the_lines_of_a_task_list_are_made_by_the_executors(spark, tmp_path):
+    from notelake.operators.recordset import RecordSet
+    from notelake.testing.queries import render_task_list
+
+    for i in range(12):
+        (tmp_path / f"n{i}.md").write_text(f"- [x] done {i}\n- [ ]\n- [ ] two\n  lines\n")
+    vault = index.build(spark, str(tmp_path))
+    for tasks in (vault.tasks(), vault.tasks().sort("task.completed", True), vault.tasks("none/"), vault.pages("none/")):
+        lines = [r["text"] for r in sorted(tasks.task_lines().collect())]
+        assert "".join(f"{t}\n" for t in lines) == tasks.task_list()
+    with pytest.raises(TaskRowsError):
+        vault.pages().task_lines()
+
+    def refused(*_):
+        raise AssertionError("the driver holds the whole list")
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(RecordSet, "task_list", refused)
+        got = sorted(render_task_list(spark, "/root/testdata/sf0.001").collect())
+    assert len(got) > 30 and [r["line"] for r in got] == list(range(len(got)))
