@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -103,6 +104,14 @@ def small(parts: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Reco
     for batch in parts:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        _give_back()
+
+
+def _give_back() -> None:
+    """Return free memory to the system: workers wait for other stages with what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -4,16 +4,16 @@ A profile lists the most frequent n-grams of letters (n from 1 to 3, words padde
 A document's own profile is compared with each language's by the out-of-place distance: the sum of rank
 differences, with the profile's length for an n-gram that the language lacks. The nearest language wins.
 
-Profiles are learned from a bounded sample of labelled documents, the same at every size: in each
-language the documents with the smallest hashes of their id, about SAMPLE_DOCS of them, whole. A prediction reads the
-whole text.
+Profiles are learned from all labelled documents that aren't held out, whole. A prediction reads the whole text.
 
 A text is accepted as one in a learned language if it is about as near to a profile as labelled documents are that the profiles
-weren't made from: no further than NEAR of the score that all but FAR of these reach.
+weren't made from: no further than NEAR of the score that all but FAR of these reach. For that the labelled documents are
+split in halves by their text, and each half is scored by profiles of the other: all of them count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +21,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bytes_of, id_and_text, small
+from .common import arrow_schema, bytes_of, discard, id_and_text, small, written
 
 PROFILE = 400
-#: Documents of a language that profiles, and as many others that the least score of an accepted text, are learned from.
-SAMPLE_DOCS = 1500
 #: Share of labelled documents that may be as far from the profiles as they like, and of the score that all others reach.
 FAR, NEAR = 0.001, 0.9
 UNDETERMINED = "und"
+#: The part of labelled documents that is all of them, beside the halves 0 and 1.
+WHOLE = 2
 #: Long texts are counted in slices of so many characters.
 SLICE = 1 << 18
+#: A task adds up the n-grams of documents when it holds so many, and lets go of sums that are half as many.
+HELD = 1 << 19
+#: Ranges of scores in which a rank is looked up.
+RANGES = 1 << 16
 _BITS = 21  # of a code point
 _tables: dict[str, np.ndarray] = {}
 
@@ -120,42 +124,64 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _sample(docs: DataFrame, sample_docs: int, turn: int = 0) -> DataFrame:
-    """lang and text of about sample_docs labelled documents of each language that aren't held out; each turn others, while there are any."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """lang, half and text of all labelled documents that aren't held out. Equal texts are in the same half."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return rows.select("lang", "text")
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])[F.col("lang")]
-    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003
-    first = F.least(share * turn, 1 - share)
-    return rows.filter((place >= first) & (place < first + share) & F.col("text").isNotNull()).select("lang", "text")
-
-
-def learn(docs: DataFrame, profile: int = PROFILE, sample_docs: int = SAMPLE_DOCS) -> Profiles:
-    """Profiles from the text and lang of labelled documents that aren't held out."""
-    sample = _sample(docs, sample_docs)
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, dict[int, int]] = {}
-        for batch in small(parts):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes, counts = ngram_counts(text)
-                mine = total.setdefault(lang, {})
-                for c, n in zip(codes.tolist(), counts.tolist()):
-                    mine[c] = mine.get(c, 0) + n
-        for lang, mine in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine)), pa.array(list(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], names=["lang", "code", "n"])
+    rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return rows.select("lang", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), "text")
+
+
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return codes, np.bincount(where, weights=np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)
+
+
+def _counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lang, half and text: the n-grams of each language's halves and how many there are; the same ones may come again."""
+    held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, half), found in held.items():
+            codes, n = _summed(found)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array([half] * len(codes), pa.int32()), pa.array(codes), pa.array(n)], names=["lang", "half", "code", "n"])
+
+    for batch in small(parts):
+        for lang, half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch.column(2))):
+            codes, n = ngram_counts(text.decode("utf-8", "replace"))
+            held.setdefault((lang, half), []).append((codes, n))
+            size += len(codes)
+            if size >= HELD:
+                held = {k: [_summed(found)] for k, found in held.items()}
+                size = sum(len(found[0][0]) for found in held.values())
+                if size >= HELD // 2:
+                    yield from out()
+                    held, size = {}, 0
+    yield from out()
+
 
+def _learned(docs: DataFrame, profile: int, parts: Column) -> dict[int, Profiles]:
+    """Profiles by part; `parts` is an array of the parts that a half belongs to."""
     from pyspark.sql import Window
 
-    sums = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    top = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("rank") <= profile)
-    found: dict[str, list[tuple[int, int]]] = {}
-    for r in top.collect():  # at most `profile` rows for each language
-        found.setdefault(r["lang"], []).append((r["rank"], r["code"]))
-    return Profiles({k: [c for _, c in sorted(v)] for k, v in found.items()}, profile)
+    sums = _labelled(docs).mapInArrow(_counts, "lang string, half int, code long, n long").groupBy("lang", "half", "code").agg(F.sum("n").alias("n"))
+    sums = sums.select("lang", F.explode(parts).alias("part"), "code", "n").groupBy("lang", "part", "code").agg(F.sum("n").alias("n"))
+    top = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "code"))).filter(F.col("rank") <= profile)
+    found: dict[int, dict[str, list[tuple[int, int]]]] = {}
+    for r in top.collect():  # at most `profile` rows for each language and part
+        found.setdefault(r["part"], {}).setdefault(r["lang"], []).append((r["rank"], r["code"]))
+    return {part: Profiles({k: [c for _, c in sorted(v)] for k, v in found.get(part, {}).items()}, profile) for part in (0, 1, WHOLE)}
+
+
+def learn(docs: DataFrame, profile: int = PROFILE) -> Profiles:
+    """Profiles from the text and lang of all labelled documents that aren't held out."""
+    return _learned(docs, profile, F.array(F.lit(WHOLE)))[WHOLE]
+
+
+def learn_with_halves(docs: DataFrame, profile: int = PROFILE) -> tuple[Profiles, tuple[Profiles, Profiles]]:
+    """The same, and beside them the profiles of each half of those documents."""
+    found = _learned(docs, profile, F.array("half", F.lit(WHOLE)))
+    return found[WHOLE], (found[0], found[1])
 
 
 def identify(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
@@ -177,16 +203,44 @@ def identify(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def least_score(docs: DataFrame, profiles: Profiles, sample_docs: int = SAMPLE_DOCS) -> float:
-    """The least score of an accepted text; 0 where there are no labelled documents."""
+def _ranked_score(scores: DataFrame, share: float) -> float | None:
+    """The score that all but less than `share` of the scores (0 to 1) reach; None if there are none.
+
+    The driver sees how many scores are in each of RANGES ranges, then the different ones in a single range: as scores are
+    fractions with denominators of at most the profiles' length squared, neither grows with the documents.
+    """
+    counted = written(scores.groupBy("score").agg(F.count(F.lit(1)).alias("n")), "language-scores")
+    place = F.floor(F.col("score") * RANGES)
+    sizes = sorted((r["place"], r["n"]) for r in counted.groupBy(place.alias("place")).agg(F.sum("n").alias("n")).collect())
+    left, found = max(1, math.ceil(share * sum(n for _, n in sizes))), None
+    for at, n in sizes:
+        if n >= left:
+            for r in sorted(counted.filter(place == at).collect()):
+                left -= r["n"]
+                if left <= 0:
+                    found = r["score"]
+                    break
+            break
+        left -= n
+    discard(counted)
+    return found
+
+
+def least_score(docs: DataFrame, profiles: Profiles, halves: tuple[Profiles, Profiles] | None = None) -> float:
+    """The least score of an accepted text, from all labelled documents that aren't held out; 0 where there are none.
+
+    With halves, a document is scored by the profiles of the half that it isn't in, unless that half lacks its language.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(parts):
-            got = [profiles.predict(t.decode("utf-8", "replace")) for t in bytes_of(batch.column(1))]
+            got = []
+            for lang, half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch.column(2))):
+                judge = halves[1 - half] if halves and lang in halves[1 - half].names else profiles
+                got.append(judge.predict(text.decode("utf-8", "replace")))
             yield pa.RecordBatch.from_arrays([pa.array([s for name, s in got if name != UNDETERMINED], pa.float64())], names=["score"])
 
-    found = _sample(docs, sample_docs, turn=1).mapInArrow(run, "score double").approxQuantile("score", [FAR], 0.0)
-    return NEAR * found[0] if found else 0.0
+    return NEAR * (_ranked_score(_labelled(docs).mapInArrow(run, "score double"), FAR) or 0.0)
 
 
 def accepted(docs: DataFrame, profiles: Profiles | None = None, least: float | None = None) -> DataFrame:
@@ -195,8 +249,11 @@ def accepted(docs: DataFrame, profiles: Profiles | None = None, least: float | N
     Without labelled documents only texts that share no n-gram with a profile are too far. Null texts, empty ones and those without
     a letter go; repeated rows stay or go together; an empty table gives none. Other columns stay as they are.
     """
+    halves = None
+    if profiles is None and least is None:
+        profiles, halves = learn_with_halves(docs)
     known = profiles or learn(docs)
-    least = least_score(docs, known) if least is None and "lang" in docs.columns else least or 0.0
+    least = least_score(docs, known, halves) if least is None and "lang" in docs.columns else least or 0.0
     names = docs.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

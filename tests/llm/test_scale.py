@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -195,6 +197,54 @@ def test_foreign_texts_go(spark):
     assert kept.count() >= 0.998 * docs.filter("text rlike '[a-z]'").count()
 
 
+def test_profiles_and_the_least_score_come_from_all_labelled_documents(spark, monkeypatch):
+    """Against plain sums and a plain sort; the documents of a language are many, and few of them hold its rarer words."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij" if k % 2 else "klmnopqrst") for _ in range(rng.randint(2, 7))) for k in range(300)]
+    rows = [(i, " ".join(rng.choice(words[i % 2 : 8 + rng.randint(0, 290) : 2]) for _ in range(rng.randint(1, 12))), "xx" if i % 2 else "yy") for i in range(9000)]
+    rows += [(9000, "only here", "zz"), (9001, "12", "xx"), (9002, None, "yy"), (9003, "not labelled", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    own = [(t, x) for i, t, x in rows if t is not None and x and zlib.crc32(str(i).encode()) % 4 != 2]
+    half = {r["text"]: r["half"] for r in language_id._labelled(df).collect()}
+    assert set(half) == {t for t, _ in own} and set(half.values()) == {0, 1}
+
+    def plain(texts):
+        sums = {}
+        for t, lang in texts:
+            for c, n in zip(*map(np.ndarray.tolist, language_id.ngram_counts(t))):
+                sums.setdefault(lang, {}).setdefault(c, 0)
+                sums[lang][c] += n
+        return language_id.Profiles({k: sorted(v, key=lambda c: (-v[c], c))[: language_id.PROFILE] for k, v in sums.items()}, language_id.PROFILE)
+
+    def same(a, b):
+        return a.names == b.names and (a.codes == b.codes).all() and (a.ranks == b.ranks).all()
+
+    known = language_id.learn(df)
+    assert same(known, plain(own))
+    whole, halves = language_id.learn_with_halves(df)
+    assert same(whole, known) and all(same(halves[k], plain([x for x in own if half[x[0]] == k])) for k in (0, 1))
+
+    def least(judge):
+        scores = sorted(s for name, s in (judge(t, x).predict(t) for t, x in own) if name != "und")
+        return language_id.NEAR * scores[math.ceil(language_id.FAR * len(scores)) - 1]
+
+    other = lambda t, x: halves[1 - half[t]] if x in halves[1 - half[t]].names else whole
+    assert language_id.least_score(df, known) == least(lambda *_: known) > 0
+    assert language_id.least_score(df, whole, halves) == least(other) > 0
+    assert language_id.least_score(df.limit(0), known) == 0
+
+    monkeypatch.setattr(language_id, "HELD", 3000)  # sums are let go of before the task ends
+    part = pa.RecordBatch.from_arrays([pa.array([x for _, x in own]), pa.array([half[t] for t, _ in own], pa.int32()), pa.array([t for t, _ in own])], names=["lang", "half", "text"])
+    got, sums = [r for b in language_id._counts([part]) for r in b.to_pylist()], {}
+    for r in got:
+        sums.setdefault((r["lang"], r["half"]), {}).setdefault(r["code"], 0)
+        sums[r["lang"], r["half"]][r["code"]] += r["n"]
+    assert len(got) > sum(map(len, sums.values()))
+    for k in (0, 1):
+        ranked = {lang: sorted(v, key=lambda c: (-v[c], c))[: language_id.PROFILE] for (lang, h), v in sums.items() if h == k}
+        assert same(halves[k], language_id.Profiles(ranked, language_id.PROFILE))
+
+
 # ---- toxicity
 
 
