@@ -7,7 +7,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,6 +99,18 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+#: The setting for the size of the Arrow batches that Spark sends to a worker, and the size where the session sets none.
+ARROW_SETTING, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes: Spark's own bound is high, and both the JVM and the worker hold a batch whole."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_SETTING, None) is None:
+        conf.set(ARROW_SETTING, ARROW_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def small(parts: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many, so that what is made of a batch in Python takes little memory."""
     for batch in parts:

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small, written
+from .common import in_batches, small, written
 from .hashing import span_hashes, word_spans
 
 WINDOW = 13
 #: Contaminated: at least one word in COVERAGE is hit.
 COVERAGE = 20
 BATCH_WORDS = 400_000
-BUFFER_BYTES = 1 << 20
+BUFFER_BYTES = 1 << 18
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _INSIDE = np.zeros(256, dtype=bool)
@@ -265,7 +265,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, batch_w
                 new = {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, batch.schema.field("hit_spans").type), "hit_items": pa.array(got, batch.schema.field("hit_items").type)}
                 yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
 
-        out = out.mapInArrow(run, schema)
+        out = in_batches(out, run, schema)
     return out
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bytes_of, discard, id_and_text, small, written
+from .common import arrow_schema, bytes_of, discard, id_and_text, in_batches, small, written
 
 PROFILE = 400
 #: Share of labelled documents that may be as far from the profiles as they like, and of the score that all others reach.
@@ -164,7 +164,7 @@ def _learned(docs: DataFrame, profile: int, parts: Column) -> dict[int, Profiles
     """Profiles by part; `parts` is an array of the parts that a half belongs to."""
     from pyspark.sql import Window
 
-    sums = _labelled(docs).mapInArrow(_counts, "lang string, half int, code long, n long").groupBy("lang", "half", "code").agg(F.sum("n").alias("n"))
+    sums = in_batches(_labelled(docs), _counts, "lang string, half int, code long, n long").groupBy("lang", "half", "code").agg(F.sum("n").alias("n"))
     sums = sums.select("lang", F.explode(parts).alias("part"), "code", "n").groupBy("lang", "part", "code").agg(F.sum("n").alias("n"))
     top = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "code"))).filter(F.col("rank") <= profile)
     found: dict[int, dict[str, list[tuple[int, int]]]] = {}
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
             got = [known.predict(t.decode("utf-8", "replace")) for t in bytes_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema=schema)
 
-    out = id_and_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = in_batches(id_and_text(docs), run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -240,7 +240,7 @@ def least_score(docs: DataFrame, profiles: Profiles, halves: tuple[Profiles, Pro
                 got.append(judge.predict(text.decode("utf-8", "replace")))
             yield pa.RecordBatch.from_arrays([pa.array([s for name, s in got if name != UNDETERMINED], pa.float64())], names=["score"])
 
-    return NEAR * (_ranked_score(_labelled(docs).mapInArrow(run, "score double"), FAR) or 0.0)
+    return NEAR * (_ranked_score(in_batches(_labelled(docs), run, "score double"), FAR) or 0.0)
 
 
 def accepted(docs: DataFrame, profiles: Profiles | None = None, least: float | None = None) -> DataFrame:
@@ -262,4 +262,4 @@ def accepted(docs: DataFrame, profiles: Profiles | None = None, least: float | N
             got = [known.predict(t.decode("utf-8", "replace")) for t in texts]
             yield batch.filter(pa.array([name != UNDETERMINED and score > 0 and score >= least for name, score in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

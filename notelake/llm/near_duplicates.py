@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, id_and_text, small, spread_join, written
+from .common import bytes_of, id_and_text, in_batches, small, spread_join, written
 from .components import connected_components
 from .hashing import SPACE, mix, segments, span_hashes, word_spans
 
@@ -42,7 +42,7 @@ PERCENT = 85
 BLOCK_DOCS, BLOCK_SHINGLES = 192, 1_500_000
 #: Members of a large bucket that each of its blocks holds in the first pass.
 HUBS = 4
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _SEEDS = mix(np.arange(1, 4096, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -129,7 +129,7 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat).cast(pa.list_(pa.int64()))], schema=schema)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, keys array<long>")
+    return in_batches(id_and_text(docs), run, "doc_id long, n long, set_a long, set_b long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -141,7 +141,7 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             sets = [s.tobytes() for s in shingle_sets(bytes_of(batch.column(1)), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=schema)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, shingles binary")
+    return in_batches(id_and_text(docs), run, "doc_id long, shingles binary")
 
 
 def forest(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, bytes_of, id_and_text, small
+from .common import arrow_schema, bytes_of, id_and_text, in_batches, small
 from .token_counts import VOCABULARY, encoder
 
 WINDOW, END_ID = 4096, 2
@@ -33,7 +33,7 @@ WINDOW, END_ID = 4096, 2
 SENTENCE_PENALTY, INNER_PENALTY = 24, 96
 GRID, BLOCK_TOKENS = 1024, 1 << 19
 #: Bytes of texts that are encoded together.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 SENTENCE_ENDS = (".", "!", "?", "。", "！", "？")
 
 _SCHEMA = arrow_schema({"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()})
@@ -203,4 +203,4 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, en
         if rows:
             yield out(rows)
 
-    return id_and_text(docs).mapInArrow(run, _DDL)
+    return in_batches(id_and_text(docs), run, _DDL)

@@ -115,7 +115,10 @@ def ledger_at(spark: SparkSession, folder: str) -> DataFrame:
     """The ledger of a folder; an empty one if nothing is there yet."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(LEDGER).parquet(folder) if there else spark.createDataFrame([], LEDGER)
+    if there:
+        return spark.read.schema(LEDGER).parquet(folder)
+    # createDataFrame would start Python workers on the executors, which stay with nothing to do
+    return spark.range(0).select(F.from_json(F.lit(None).cast("string"), LEDGER).alias("row")).select("row.*")
 
 
 def record(docs: DataFrame, folder: str | None = None, version: str = RULES_VERSION) -> tuple[DataFrame, DataFrame]:

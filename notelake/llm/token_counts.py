@@ -20,13 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, bytes_of, id_and_text, small
+from .common import arrow_schema, bytes_of, id_and_text, in_batches, small
 from .hashing import SPACE, span_hashes, word_spans
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 #: A text is sliced beyond so many bytes, and the kept pieces are dropped beyond so many.
-SLICE_BYTES, KEPT_PIECES = 1 << 20, 1_000_000
+SLICE_BYTES, KEPT_PIECES = 1 << 18, 1_000_000
 
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ɏ"
 #: Pieces for which Unicode versions and normal forms can't matter.
@@ -65,6 +65,7 @@ class PieceEncoder:
         self.merger, self.ids = self._merger()
         self.whole = not self._drops_space()  # then texts can't be split
         self.ids = None if self.ids is None else self.ids.tolist()
+        del self.spec  # only read above, and large
 
     def _drops_space(self) -> bool:
         steps = self.spec.get("pre_tokenizer") or {}
@@ -329,4 +330,4 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = TOK
             n = encode.batch(texts, want_ids=False)[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())], schema=schema)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_batches(id_and_text(docs), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
